@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, urls
+from . import ann, langid, licenses, packing, topk, urls, vectors
 from .common import table
 
 
@@ -17,6 +17,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    index = ann.build(rows)
+    queries = vectors.picked(rows.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", nonzero=True)
+    if index is None:
+        return queries.selectExpr("__id AS query_id", "1 AS rank", "__id AS vec_id", "0D AS score")
+    return ann.search(index, queries, 10)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -31,8 +44,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_language_id, op6_url_filter)}
+    found = (
+        op1_license_scan, op2_best_fit_packing, op3_exact_topk, op4_ann_search, op5_language_id, op6_url_filter,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urls.oracle()}
+    return {"op3_exact_topk": topk.oracle(), "op6_url_filter": urls.oracle()}
