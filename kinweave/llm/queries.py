@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, packing, pii, topk, urls, vectors
+from . import ann, langid, licenses, omh, packing, pii, topk, urls, vectors
 from .common import table
 
 
@@ -47,10 +47,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_license_scan, op2_best_fit_packing, op3_exact_topk, op4_ann_search, op5_language_id, op6_url_filter,
-        op8_pii,
+        op8_pii, op10_near_dedup,
     )
     return {f.__name__: f for f in found}
 
