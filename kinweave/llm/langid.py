@@ -200,3 +200,26 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return map_texts(df, id_col, text_col, start, fields)
+
+
+def identify_rows(
+    df: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score",
+    max_gram: int = MAX_GRAM,
+) -> DataFrame:
+    """df with the prediction and its score beside every row; the two names must be new to df."""
+    if clash := {pred_col, score_col} & set(df.columns):
+        raise ValueError(f"df already has {sorted(clash)}")
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(sent.value, max_gram)
+        for batch in batches:
+            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            columns = [
+                *batch.columns, pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.float64())
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, pred_col, score_col])
+
+    added = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))

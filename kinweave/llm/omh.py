@@ -244,6 +244,16 @@ def near_duplicates(
     return found.union(rest.select(F.col("node").alias(id_col), F.col("node").alias("class_id")))
 
 
+def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df that stay: of each class the one of smallest id, once if rows repeat it. Rows with a null id stay."""
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(kept)
+    rows = df.join(kept.select(id_col), id_col, "left_semi")
+    if kept.filter("n > 1").take(1):
+        rows = rows.dropDuplicates([id_col])
+    return rows.select(*df.columns).union(df.filter(F.col(id_col).isNull()))
+
+
 def _cross_pairs(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different components in large buckets that agree on one more sketch."""
     firsts = classes.select(F.col("node").alias("first"), F.col("comp").alias("first_comp"))
