@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..checkpoints import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir", "lower_ascii", "map_texts", "table"]
 
 ID, TEXT = "__id", "__text"
 
@@ -17,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by spark.checkpoint.dir; sets a local one only where none is named."""
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,8 +47,6 @@ def map_texts(
         F.col(id_col).alias(ID), F.col(text_col).alias(TEXT), *[c.alias(f"__x{i}") for i, c in enumerate(extra.values())]
     )
     schema = T.StructType([T.StructField(id_col, id_type), *fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
