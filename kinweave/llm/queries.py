@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, omh, packing, pii, topk, urls, vectors
+from . import ann, langid, licenses, lm, omh, packing, pieces, pii, topk, urls, vectors
 from .common import table
 
 
@@ -43,10 +43,29 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as of good quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    models = lm.train(docs, labels.filter("quality = 1").select("doc_id"))
+    return lm.score(docs, models)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number and checksum of each text's ids, and whether they decode to it."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +73,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_license_scan, op2_best_fit_packing, op3_exact_topk, op4_ann_search, op5_language_id, op6_url_filter,
-        op8_pii, op10_near_dedup,
+        op7_lm_score, op8_pii, op9_sentencepiece, op10_near_dedup,
     )
     return {f.__name__: f for f in found}
 
