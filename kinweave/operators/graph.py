@@ -40,3 +40,55 @@ def _to_roots(hooks: DataFrame) -> DataFrame:
         hooks = jumped.select("u", "root")
         if not jumped.filter("moved").take(1):
             return hooks
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, comp) for all nodes, those without a link too."""
+    found = connected_components(links, "u1", "u2", "u", "comp")
+    return nodes.select("u").join(found, "u", "left").select("u", F.coalesce("comp", "u").alias("comp"))
+
+
+def merged_components(*parts: DataFrame) -> DataFrame:
+    """(u, comp) of the closure of several (u, comp) tables over the same nodes."""
+    edges, nodes = None, None
+    for part in parts:
+        own = part.select(F.col("u").alias("u1"), F.col("comp").alias("u2"))
+        edges = own if edges is None else edges.union(own)
+        nodes = part.select("u") if nodes is None else nodes.union(part.select("u"))
+    return components(nodes.distinct(), edges)
+
+
+def leader_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, leader) for all nodes (u, ord_key); links must hold every linked pair of a component.
+
+    In order of (ord_key, u), a free node becomes a leader and takes the free nodes linked to it. That is
+    the lexicographically first maximal independent set: in rounds, nodes without an undecided smaller
+    neighbour become leaders and their neighbours members, until none is undecided; a member then
+    belongs to its smallest linked leader.
+    """
+    order = lambda side: nodes.select(F.col("u").alias(side), F.struct("ord_key", "u").alias(f"o_{side}"))
+    both = links.join(order("u1"), "u1").join(order("u2"), "u2")
+    edges = cut(both.select(F.least("o_u1", "o_u2").alias("low"), F.greatest("o_u1", "o_u2").alias("high")))
+    live, decided = edges, []
+    while live.take(1):
+        tops = live.select(F.col("low").alias("o")).distinct().join(live.select(F.col("high").alias("o")).distinct(), "o", "left_anti")
+        tops = cut(tops)
+        decided.append(tops)
+        taken = live.join(tops.withColumnRenamed("o", "low"), "low", "left_semi").select(F.col("high").alias("o"))
+        gone = cut(tops.union(taken).distinct())
+        rest = live.join(gone.withColumnRenamed("o", "low"), "low", "left_anti")
+        # a node may lose all its edges while undecided: its smaller neighbours became members, so it leads
+        after = cut(rest.join(gone.withColumnRenamed("o", "high"), "high", "left_anti"))
+        ends = live.select(F.explode(F.array("low", "high")).alias("o")).distinct()
+        left = after.select(F.explode(F.array("low", "high")).alias("o")).distinct()
+        decided.append(cut(ends.join(gone, "o", "left_anti").join(left, "o", "left_anti")))
+        live = after
+    if not decided:
+        return nodes.select("u", F.col("u").alias("leader"))
+    leaders = decided[0]
+    for more in decided[1:]:
+        leaders = leaders.union(more)
+    leaders = cut(leaders)
+    taken = edges.join(leaders.withColumnRenamed("o", "low"), "low").join(leaders.withColumnRenamed("o", "high"), "high", "left_anti")
+    owned = taken.groupBy(F.col("high.u").alias("u")).agg(F.min("low").alias("leader"))
+    return nodes.select("u").join(owned, "u", "left").select("u", F.coalesce("leader.u", "u").alias("leader"))
