@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import langid, omh, packing, pii
 from kinweave.llm.common import ensure_checkpoint_dir
+from kinweave.ship import ship
 
 #: Below this share of the best language a document is rejected, like one without any letter.
 LEAST_SHARE = 0.3
@@ -23,22 +24,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rejected: null texts, texts without a letter, and texts whose best language has less than LEAST_SHARE.
     """
+    ship(spark)
     found = langid.identify_rows(docs, langid.train(docs))
     return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one of smallest id."""
+    ship(spark)
     return omh.keep_one(docs, omh.near_duplicates(docs))
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and the terms that reveal it; keeps every document."""
+    ship(spark)
     return pii.sanitise_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: one row per piece."""
+    ship(spark)
     return packing.pack(docs)
 
 

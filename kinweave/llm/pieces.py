@@ -9,11 +9,12 @@ unit, and fold them with a higher-order aggregate:
 - model type "bpe": merges in order of score. The scores of a BPE model are merge ranks, and the path of
   their largest sum isn't what SentencePiece returns, so Viterbi can't be used for it.
 
-The units' ids are broadcast (`max_units` at most). The pass over the texts looks units up and encodes
-the remaining, rare ones by the same rules in place. Characters without a piece become bytes.
+The units' ids are broadcast (`max_units` at most, none longer than MAX_LENGTH characters, as a fold costs the
+square of the length). The pass over the texts looks units up and encodes the remaining, rare or long ones
+by the same rules in place. Characters without a piece become bytes.
 
 Cases: null and empty texts have no ids and decode to the empty text. Rows repeat as they come; a null
-id is kept; ids outside the vocabulary are refused. Models that need a character map aren't supported.
+id is kept; ids outside the vocabulary are refused. U+2581 in a text decodes to a space. Models that need a character map aren't supported.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .counts import batches_of, most_frequent
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-MAX_UNITS, MIN_COUNT = 200_000, 5
+MAX_UNITS, MIN_COUNT, MAX_LENGTH = 200_000, 5, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -291,7 +292,7 @@ def count_units(df: DataFrame, text_col: str) -> DataFrame:
 
 def frequent_units(df: DataFrame, vocabulary: Vocabulary, text_col: str, max_units: int, min_count: int) -> dict[str, list[int]]:
     """Ids of the frequent units, by the relational lattice."""
-    counts = cut(count_units(df, text_col).filter(F.col("n") >= min_count))
+    counts = cut(count_units(df, text_col).filter((F.col("n") >= min_count) & (F.length("unit") <= MAX_LENGTH)))
     units = most_frequent(counts, "n", max_units, min_count).select("unit")
     table = encode_units(cut(units.repartition(units.sparkSession.sparkContext.defaultParallelism * 4)), vocabulary).toArrow()
     pieces = table["pieces"].combine_chunks()
