@@ -129,6 +129,7 @@ def train(
     words = sorted(r[0] for r in most_frequent(counted, "n", max_words, min_count).select("word").collect())
     index = {w: i + 2 for i, w in enumerate(words)}
     flags = target_ids.toDF("__id").filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
+    flags = flags.hint("merge")  # the target has no size bound: the same plan at every size
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(flags, "__id", "left")
     bigrams = cut(count_bigrams(rows.select("__text", F.coalesce("__target", F.lit(False)).alias("__target")), "__text", "__target", index))
     size = len(words) + 2
