@@ -8,10 +8,13 @@ longer text. Such pairs differ by few edits, so the alignment needs a band aroun
 
 Nothing grows with the square of a group:
 - Rows whose words are the same are copies: one of each (smallest id) stands for them.
-- Buckets of up to `small` texts give all their pairs. In larger ones every text is compared with the
-  bucket's smallest id. Where that leaves texts of a large bucket in other components, the bucket is
-  split by each further sketch, and the pairs of different components there are compared.
-Links are exact for all candidates: pairs inside one component aren't compared again.
+- Buckets of up to `small` texts give all their pairs. Larger ones are split by length (similar texts are
+  at most a fourth longer, so each goes to two of the classes), and every text of a class is compared
+  with two of it that are drawn by hash.
+- Texts linked to neither of the two share a frequent passage with the class rather than most of their
+  words. They are put together once more by every two such keys, and treated alike. (What two similar
+  texts have in common beyond the passage gives them a small bucket; where they have nothing beyond
+  it, the whole class is similar. README.md has the share of pairs between these cases.)
 
 Cases: texts without any word are equal if they are the same text; a text of fewer words than a shingle
 is one shingle. A null text is in a class of its own. Rows that share an id are one document. A row
@@ -155,23 +158,24 @@ def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int, ell: int) -> DataFrame:
-    """(id, text_key, sketch); text_key is the same for texts of the same words, null for a null text."""
+    """(id, text_key, n_words, sketch); text_key is the same for texts of the same words, null for a null text."""
 
     def start():
         hashes = WordHashes()
 
         def work(ids, texts):
-            keys, found = [], []
+            keys, sizes, found = [], [], []
             for text in texts:
                 words = WORD.findall(text.lower()) if text is not None else []
                 whole = " ".join(words) if words else f"\0{text}"
                 keys.append(None if text is None else hashlib.md5(whole.encode("utf-8", "surrogatepass")).hexdigest())
+                sizes.append(len(words))
                 found.append(sketch(shingles(np.array([hashes[x] for x in words], dtype=np.uint64), shingle), sketches, ell).tolist())
-            return {id_col: ids, "text_key": keys, "sketch": found}
+            return {id_col: ids, "text_key": keys, "n_words": sizes, "sketch": found}
 
         return work
 
-    fields = [T.StructField("text_key", T.StringType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("text_key", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
     return map_texts(df, id_col, text_col, start, fields)
 
 
@@ -206,9 +210,35 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
     return both.mapInArrow(run, both.select("a", "b").schema)
 
 
-def _pairs_in(rows: DataFrame, condition: str) -> DataFrame:
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key"]) for x in "ab")
-    return left.join(right, "key").filter(condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def _pairs_in(buckets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the nodes of a key."""
+    left, right = (buckets.select("key", F.col("node").alias(x)) for x in "ab")
+    return left.join(right, "key").filter("a < b").select("a", "b")
+
+
+def _shared(rows: DataFrame, *extra) -> DataFrame:
+    """rows (key, node) of the keys that several nodes have, with their number n and the extra aggregates."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *extra).filter("n > 1")
+    return cut(rows.join(sizes, "key"))
+
+
+def _by_length(large: DataFrame, threshold: float) -> DataFrame:
+    """(key, node): the classes of large buckets by length."""
+    step = F.floor(F.log(F.greatest("n_words", F.lit(1))) / float(np.log(1 / threshold)) + 1e-9)
+    rows = large.select("key", "node", F.explode(F.array(step, step + 1)).alias("step"))
+    return rows.select(F.xxhash64("key", "step").alias("key"), "node")
+
+
+def _drawn(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the keys of rows (key, node), and (key, node, d1, d2) of those with more than `small` nodes."""
+    draw = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"].alias(f"d{i}")
+    shared = _shared(rows, draw(1), draw(2))
+    wide = shared.filter(F.col("n") > small).drop("n")
+    pairs = _pairs_in(shared.filter(F.col("n") <= small))
+    for d in ("d1", "d2"):
+        stars = wide.filter(F.col("node") != F.col(d)).select(F.least("node", d).alias("a"), F.greatest("node", d).alias("b"))
+        pairs = pairs.union(stars.distinct())
+    return pairs, wide
 
 
 def near_duplicates(
@@ -218,30 +248,26 @@ def near_duplicates(
     """(id, class_id) for every row: class_id is the smallest id of the row's class."""
     rows = cut(signatures(df, id_col, text_col, shingle, sketches, ell).withColumnRenamed(id_col, "node"))
     known = rows.filter(F.col("node").isNotNull() & F.col("text_key").isNotNull())
-    texts = cut(known.groupBy("text_key").agg(F.min("node").alias("rep"), F.any_value("sketch").alias("sketch")))
-    keyed = texts.select(F.col("rep").alias("node"), F.explode("sketch").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    buckets = cut(keyed.join(sizes, "key"))
-    large = buckets.filter(F.col("n") > small)
-    close = _pairs_in(buckets.filter(F.col("n") <= small).select("key", "node"), "node_a < node_b")
-    stars = large.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = cut(close.union(stars).distinct())
+    texts = cut(known.groupBy("text_key").agg(F.min("node").alias("rep"), F.any_value("n_words").alias("n_words"), F.any_value("sketch").alias("sketch")))
+    keyed = texts.select(F.col("rep").alias("node"), "n_words", F.explode("sketch").alias("key"))
+    buckets = _shared(keyed)
+    starred, wide = _drawn(_by_length(buckets.filter(F.col("n") > small), threshold), small)
+    pairs = cut(_pairs_in(buckets.filter(F.col("n") <= small)).union(starred).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sequences = cut(_sequences(df, id_col, text_col, nodes))
     links = cut(_verified(pairs, sequences, threshold).distinct())
-    classes = connected_components(links)
-    if large.take(1):
-        more = _cross_pairs(large, classes, texts)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        if more.take(1):
-            links = links.union(_verified(more, sequences, threshold))
-            classes = connected_components(links)
+    outside = cut(_outsiders(wide, links))
+    if outside.take(1):
+        starred, _ = _drawn(_by_two_keys(outside), small)
+        more = starred.distinct().join(pairs, ["a", "b"], "left_anti")
+        links = links.union(cut(_verified(more, sequences, threshold).distinct()))
+    labels = connected_components(links)
     # copies follow their text's representative
-    labelled = texts.select("text_key", F.col("rep").alias("node")).join(classes, "node", "left")
+    labelled = texts.select("text_key", F.col("rep").alias("node")).join(labels, "node", "left")
     labelled = cut(labelled.select("text_key", F.coalesce("comp", "node").alias("class_id")))
-    found = known.join(labelled, "text_key").select(F.col("node").alias(id_col), "class_id")
+    placed = known.join(labelled, "text_key").select(F.col("node").alias(id_col), "class_id")
     rest = rows.filter(F.col("node").isNull() | F.col("text_key").isNull())
-    return found.union(rest.select(F.col("node").alias(id_col), F.col("node").alias("class_id")))
+    return placed.union(rest.select(F.col("node").alias(id_col), F.col("node").alias("class_id")))
 
 
 def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -254,18 +280,19 @@ def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataF
     return rows.select(*df.columns).union(df.filter(F.col(id_col).isNull()))
 
 
-def _cross_pairs(large: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components in large buckets that agree on one more sketch."""
-    firsts = classes.select(F.col("node").alias("first"), F.col("comp").alias("first_comp"))
-    placed = large.join(classes, "node", "left").join(firsts, "first", "left").select(
-        "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("first_comp", "first").alias("first_comp")
-    )
-    placed = cut(placed)
-    open_keys = placed.filter("comp <> first_comp").select("key").distinct()
-    rows = placed.join(open_keys, "key", "left_semi").select("key", "node", "comp")
-    sketches = texts.select(F.col("rep").alias("node"), "sketch")
-    finer = rows.join(sketches, "node").select("key", "node", "comp", F.explode("sketch").alias("other")).filter("other <> key")
-    split = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "comp").distinct()
-    mixed = split.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    kept = cut(split.join(mixed, "key", "left_semi"))
-    return _pairs_in(kept, "node_a < node_b AND comp_a <> comp_b").distinct()
+def _outsiders(wide: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node) of the nodes of wide that are linked to no draw of their key, nor drawn themselves."""
+    both = links.union(links.select("b", "a"))
+    rest = wide.filter("node <> d1 AND node <> d2")
+    for d in ("d1", "d2"):
+        rest = rest.join(both.toDF("node", d), ["node", d], "left_anti")
+    return rest.select("key", "node")
+
+
+def _by_two_keys(rows: DataFrame) -> DataFrame:
+    """(key, node) for each two of a node's keys: what shares a passage alone seldom agrees on both."""
+    listed = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a few keys for each sketch
+    two = F.flatten(
+        F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y)))
+    )
+    return listed.select(F.explode(two).alias("key"), "node")

@@ -106,7 +106,7 @@ def test_large_groups(spark):
     sharing = [[*words(1000 + i, 25, 900), *passage, *words(3000 + i, 25, 900)] for i in range(60)]
     pairs = [" ".join(edited(s, 3, i)) for i, s in enumerate(sharing[::4])]
     texts = [*family, *map(" ".join, sharing), *pairs]
-    found = classes(documents(spark, texts), small=4, frequent=8)
+    found = classes(documents(spark, texts), small=4)
     assert {found[i] for i in range(60)} == {0}
     for i in range(60):
         assert found[60 + i] == 60 + i
