@@ -223,10 +223,13 @@ def _shared(rows: DataFrame, *extra) -> DataFrame:
 
 
 def _by_length(large: DataFrame, threshold: float) -> DataFrame:
-    """(key, node): the classes of large buckets by length."""
+    """(key, node): the classes of large buckets by length. A bucket of similar lengths is one class as it is."""
+    alike = F.col("shortest") >= threshold * F.col("longest")
+    whole = large.filter(alike).select("key", "node")
+    large = large.filter(~alike)
     step = F.floor(F.log(F.greatest("n_words", F.lit(1))) / float(np.log(1 / threshold)) + 1e-9)
     rows = large.select("key", "node", F.explode(F.array(step, step + 1)).alias("step"))
-    return rows.select(F.xxhash64("key", "step").alias("key"), "node")
+    return whole.union(rows.select(F.xxhash64("key", "step").alias("key"), "node"))
 
 
 def _drawn(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +253,7 @@ def near_duplicates(
     known = rows.filter(F.col("node").isNotNull() & F.col("text_key").isNotNull())
     texts = cut(known.groupBy("text_key").agg(F.min("node").alias("rep"), F.any_value("n_words").alias("n_words"), F.any_value("sketch").alias("sketch")))
     keyed = texts.select(F.col("rep").alias("node"), "n_words", F.explode("sketch").alias("key"))
-    buckets = _shared(keyed)
+    buckets = _shared(keyed, F.min("n_words").alias("shortest"), F.max("n_words").alias("longest"))
     starred, wide = _drawn(_by_length(buckets.filter(F.col("n") > small), threshold), small)
     pairs = cut(_pairs_in(buckets.filter(F.col("n") <= small)).union(starred).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
