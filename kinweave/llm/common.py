@@ -54,7 +54,7 @@ def map_texts(
 
         def call(cols: list[list]) -> pa.RecordBatch:
             out = work(*cols)
-            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            return pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]

@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +38,8 @@ from .counts import batches_of, most_frequent
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-MAX_UNITS, MIN_COUNT, MAX_LENGTH = 200_000, 5, 64
+MAX_UNITS, MIN_COUNT, MAX_LENGTH = 400_000, 5, 64
+NONE = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -53,6 +55,7 @@ class Vocabulary:
     def __post_init__(self):
         self.index = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+        self.costs = {p: -self.scores[i] for p, i in self.index.items()}
         self.longest = max(map(len, self.index), default=1)
 
     @property
@@ -129,15 +132,33 @@ def with_bytes(symbols: list[str], vocabulary: Vocabulary) -> list[int]:
 
 def merge(unit: str, vocabulary: Vocabulary) -> list[str]:
     """Adjacent symbols are merged, the best score first and then the leftmost, until no merge is left."""
-    index, scores = vocabulary.index, vocabulary.scores
+    if len(unit) > MAX_LENGTH:
+        return _merge_long(unit, vocabulary)
+    cost = vocabulary.costs.get
+    parts = list(unit)
+    costs = [cost(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    while costs and (best := min(costs)) < NONE:
+        i = costs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del costs[i]
+        if i < len(costs):
+            costs[i] = cost(parts[i] + parts[i + 1], NONE)
+        if i:
+            costs[i - 1] = cost(parts[i - 1] + parts[i], NONE)
+    return parts
+
+
+def _merge_long(unit: str, vocabulary: Vocabulary) -> list[str]:
+    """The same with a heap, whose time doesn't grow with the square of the length."""
+    costs = vocabulary.costs
     symbols: list[str | None] = list(unit)
     after, before = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
     heap: list[tuple[float, int, str]] = []
 
     def offer(i: int, j: int) -> None:
         joined = symbols[i] + symbols[j]
-        if (k := index.get(joined)) is not None:
-            heapq.heappush(heap, (-scores[k], i, joined))
+        if (c := costs.get(joined)) is not None:
+            heapq.heappush(heap, (c, i, joined))
 
     for i in range(len(unit) - 1):
         offer(i, i + 1)
@@ -290,54 +311,91 @@ def count_units(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def frequent_units(df: DataFrame, vocabulary: Vocabulary, text_col: str, max_units: int, min_count: int) -> dict[str, list[int]]:
-    """Ids of the frequent units, by the relational lattice."""
+def frequent_units(df: DataFrame, vocabulary: Vocabulary, text_col: str, max_units: int, min_count: int) -> dict[str, bytes]:
+    """Ids of the frequent units (32-bit little-endian), by the relational lattice."""
     counts = cut(count_units(df, text_col).filter((F.col("n") >= min_count) & (F.length("unit") <= MAX_LENGTH)))
     units = most_frequent(counts, "n", max_units, min_count).select("unit")
     table = encode_units(cut(units.repartition(units.sparkSession.sparkContext.defaultParallelism * 4)), vocabulary).toArrow()
-    pieces = table["pieces"].combine_chunks()
-    flat, ends = pieces.values.to_pylist(), pieces.offsets.to_pylist()
-    return {u: with_bytes(flat[a:b], vocabulary) for u, a, b in zip(table["unit"].to_pylist(), ends, ends[1:], strict=False)}
+    out: dict[str, bytes] = {}
+    for batch in table.to_batches():
+        for unit, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out[unit] = packed(with_bytes(symbols, vocabulary))
+    return out
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
+
+def _text_encoder(vocabulary: Vocabulary, known: dict[str, bytes]) -> Callable[[str | None], bytes]:
+    """Ids of a text, 32-bit little-endian. Keeps those of up to 100,000 rare units."""
+    get, rare = known.get, {}
+
+    def rare_unit(unit: str) -> bytes:
+        if (ids := rare.get(unit)) is None:
+            if len(rare) > 100_000:
+                rare.clear()
+            ids = rare[unit] = packed(encode_unit(unit, vocabulary))
+        return ids
+
+    return lambda text: b"".join([get(u) or rare_unit(u) for u in units_of(text)])
+
+
+def _prepared(df: DataFrame, path: str, text_col: str, max_units: int, min_count: int):
+    vocabulary = load(path)
+    known = frequent_units(df, vocabulary, text_col, max_units, min_count)
+    return df.sparkSession.sparkContext.broadcast((vocabulary, known))
 
 
 def encode(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS, min_count: int = MIN_COUNT
 ) -> DataFrame:
-    """(id, text, ids, ids_crc32) for every row of df; the checksum is over the ids as 32-bit little-endian."""
-    vocabulary = load(path)
-    known = frequent_units(df, vocabulary, text_col, max_units, min_count)
-    sent = df.sparkSession.sparkContext.broadcast((vocabulary, known))
+    """(id, text, ids) for every row of df."""
+    sent = _prepared(df, path, text_col, max_units, min_count)
 
     def start():
-        vocabulary, known = sent.value
-        arrays = {u: tuple(ids) for u, ids in known.items()}
-        rare: dict[str, tuple[int, ...]] = {}
-
-        def one(text):
-            out: list[int] = []
-            for unit in units_of(text):
-                ids = arrays.get(unit) or rare.get(unit)
-                if ids is None:
-                    if len(rare) > 200_000:
-                        rare.clear()
-                    ids = rare[unit] = tuple(encode_unit(unit, vocabulary))
-                out.extend(ids)
-            return np.array(out, dtype="<i4")
+        one = _text_encoder(*sent.value)
 
         def work(ids, texts):
             found = [one(t) for t in texts]
-            return {id_col: ids, "text": texts, "ids": found, "ids_crc32": [zlib.crc32(x.tobytes()) for x in found]}
+            ends = np.cumsum([0, *[len(x) // 4 for x in found]])
+            flat = np.frombuffer(b"".join(found), dtype="<i4")
+            return {id_col: ids, "text": texts, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
 
         return work
 
-    fields = [
-        T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
-        T.StructField("ids_crc32", T.LongType()),
-    ]
+    fields = [T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
     return map_texts(df, id_col, text_col, start, fields, batch_chars=2_000_000)
 
 
-def decode_ids(ids, vocabulary: Vocabulary, parts: list[bytes]) -> str:
+def encode_and_check(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS, min_count: int = MIN_COUNT
+) -> DataFrame:
+    """(id, n_ids, ids_crc32, round_trip) for every row of df: encodes, decodes, and keeps digests of the ids only.
+
+    ids_crc32 is over the ids as 32-bit little-endian numbers; round_trip is whether they decode to the text.
+    """
+    sent = _prepared(df, path, text_col, max_units, min_count)
+
+    def start():
+        one, parts = _text_encoder(*sent.value), byte_parts(sent.value[0])
+
+        def work(ids, texts):
+            out = {id_col: ids, "n_ids": [], "ids_crc32": [], "round_trip": []}
+            for text in texts:
+                found = one(text)
+                out["n_ids"].append(len(found) // 4)
+                out["ids_crc32"].append(zlib.crc32(found))
+                out["round_trip"].append(decode_ids(np.frombuffer(found, dtype="<i4").tolist(), parts) == (text or ""))
+            return out
+
+        return work
+
+    fields = [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return map_texts(df, id_col, text_col, start, fields)
+
+
+def decode_ids(ids: list[int], parts: list[bytes]) -> str:
     text = b"".join(map(parts.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text[:1] == " " else text
 
@@ -356,10 +414,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded")
     sent, at = df.sparkSession.sparkContext.broadcast(load(path)), df.columns.index(ids_col)
 
     def run(batches):
-        vocabulary = sent.value
-        parts = byte_parts(vocabulary)
+        parts = byte_parts(sent.value)
         for batch in batches:
-            texts = [decode_ids(x or [], vocabulary, parts) for x in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [decode_ids(flat[a:b].tolist(), parts) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))

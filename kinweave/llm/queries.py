@@ -58,12 +58,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number and checksum of each text's ids, and whether they decode to it."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    return pieces.encode_and_check(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

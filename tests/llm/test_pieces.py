@@ -1,6 +1,8 @@
 import itertools
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -47,7 +49,11 @@ def test_against_sentencepiece(spark, min_count):
         for r in found.collect():
             assert r.ids == MODEL.encode(texts[r.doc_id] or "")
             assert r.decoded == (texts[r.doc_id] or "").replace("▁", " ") == MODEL.decode(r.ids)
+        for r in pieces.encode_and_check(df, PATH, min_count=min_count).collect():
+            text, ids = texts[r.doc_id] or "", np.array(MODEL.encode(texts[r.doc_id] or ""), dtype="<i4")
+            assert (r.n_ids, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), "▁" not in text)
     assert pieces.encode(no_documents(spark), PATH).count() == 0
+    assert pieces.encode_and_check(no_documents(spark), PATH).count() == 0
 
 
 def test_long_unit(spark):
