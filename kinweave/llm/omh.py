@@ -12,9 +12,8 @@ Nothing grows with the square of a group:
   at most a fourth longer, so each goes to two of the classes), and every text of a class is compared
   with two of it that are drawn by hash.
 - Texts linked to neither of the two share a frequent passage with the class rather than most of their
-  words. They are put together once more by every two such keys, and treated alike. (What two similar
-  texts have in common beyond the passage gives them a small bucket; where they have nothing beyond
-  it, the whole class is similar. README.md has the share of pairs between these cases.)
+  words. All their pairs are compared but those that can't be similar: similar texts share one of the
+  fifth of their words that is least frequent among these texts, so pairs come from a join on such words.
 
 Cases: texts without any word are equal if they are the same text; a text of fewer words than a shingle
 is one shingle. A null text is in a class of its own. Rows that share an id are one document. A row
@@ -38,6 +37,8 @@ from .common import cut, map_texts
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, SKETCHES, ELL, THRESHOLD, SMALL = 5, 24, 3, 0.8, 16
+#: Counters for the frequencies of words, which only set an order.
+SLOTS = 1 << 18
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
@@ -101,6 +102,11 @@ def sketch(values: np.ndarray, count: int = SKETCHES, ell: int = ELL) -> np.ndar
     return key.view(np.int64)
 
 
+def _least(longer: int, threshold: float) -> int:
+    """Words that a text similar to one of `longer` words, or fewer, has in common with it."""
+    return int(np.ceil(threshold * longer - 1e-9))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Words matched in order over the words of the longer text, or 0 if that is below the threshold.
 
@@ -108,7 +114,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     within that many places of the diagonal. A narrow band is tried first: what it matches is certain.
     """
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    least = int(np.ceil(threshold * longer - 1e-9))
+    least = _least(longer, threshold)
     if not shorter or shorter < least:
         return 0.0
     same = a[:shorter] == b[:shorter]
@@ -261,8 +267,8 @@ def near_duplicates(
     links = cut(_verified(pairs, sequences, threshold).distinct())
     outside = cut(_outsiders(wide, links))
     if outside.take(1):
-        starred, _ = _drawn(_by_two_keys(outside), small)
-        more = starred.distinct().join(pairs, ["a", "b"], "left_anti")
+        more = _possible(outside.withColumn("comp", F.col("node")), sequences, threshold)
+        more = more.join(pairs, ["a", "b"], "left_anti")
         links = links.union(cut(_verified(more, sequences, threshold).distinct()))
     labels = connected_components(links)
     # copies follow their text's representative
@@ -292,10 +298,62 @@ def _outsiders(wide: DataFrame, links: DataFrame) -> DataFrame:
     return rest.select("key", "node")
 
 
-def _by_two_keys(rows: DataFrame) -> DataFrame:
-    """(key, node) for each two of a node's keys: what shares a passage alone seldom agrees on both."""
-    listed = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a few keys for each sketch
-    two = F.flatten(
-        F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y)))
-    )
-    return listed.select(F.explode(two).alias("key"), "node")
+def _tokens(seq: bytes) -> np.ndarray:
+    """The words of a sequence, each with its occurrence number, as one hash each."""
+    words = np.frombuffer(seq, "<u4").astype(np.uint64)
+    return mix(words + occurrences(words) * np.uint64(_GOLDEN))
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """How many of the rows' sequences hold a token, by the last bits of the token."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for seq in batch.column(0).to_pylist():
+                counts += np.bincount(np.unique(_tokens(seq) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    found = rows.select("seq").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _possible(rows: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of rows (key, node, comp) of one key and two components, but those that can't be similar.
+
+    Of n words, similar texts share n - m + 1 or more with m = n - least + 1, so with all texts' words in one
+    order, they share one of their first m. Any order is right; by rising frequency the frequent passage is
+    last, and few texts share what comes first.
+    """
+    nodes = rows.groupBy("node", "comp").agg(F.collect_set("key").alias("keys")).join(sequences, "node")
+    nodes = cut(nodes.select("node", "comp", "keys", "seq"))
+    sent = nodes.sparkSession.sparkContext.broadcast(_common(nodes))
+
+    def run(batches):
+        counts = sent.value
+        for batch in batches:
+            first, sizes = [], []
+            for seq in batch.column(3).to_pylist():
+                tokens = _tokens(seq)
+                n = len(tokens)
+                order = np.lexsort((tokens, counts[(tokens % np.uint64(SLOTS)).astype(np.int64)]))
+                first.append(tokens[order[: n - _least(n, threshold) + 1]].view(np.int64))
+                sizes.append(n)
+            arrays = [batch.column(i) for i in range(3)] + [pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "comp", "keys", "n_words", "first"])
+
+    schema = T.StructType([*nodes.schema.fields[:3], T.StructField("n_words", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    tokens = nodes.mapInArrow(run, schema).select("node", "comp", "keys", "n_words", F.explode("first").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    tokens = cut(tokens.join(several, "token", "left_semi"))
+    comps = tokens.select("token", "comp").distinct()
+    both = comps.withColumnRenamed("comp", "comp_a").join(comps.withColumnRenamed("comp", "comp_b"), "token").filter("comp_a < comp_b")
+    for x in "ab":
+        own = tokens.select("token", F.col("comp").alias(f"comp_{x}"), F.col("node").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("n_words").alias(f"n_{x}"))
+        both = both.join(own, ["token", f"comp_{x}"])
+    fine = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
+    both = both.filter(fine & F.arrays_overlap("keys_a", "keys_b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

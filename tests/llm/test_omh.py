@@ -114,6 +114,17 @@ def test_large_groups(spark):
         assert found[120 + n] == 60 + i
 
 
+def test_pairs_inside_a_frequent_passage(spark):
+    """All common keys of these pairs lie in a passage of three quarters of each text."""
+    passage = words(7, 75, 400)
+    sharing = [[*words(5000 + i, 12, 900), *passage, *words(7000 + i, 13, 900)] for i in range(80)]
+    for i in range(0, 80, 2):  # the own words differ in every fifth place
+        own = [f"new{w}" if k % 5 == 2 else w for k, w in enumerate(sharing[i])]
+        sharing[i + 1] = own[:12] + passage + own[87:]
+    texts = [" ".join(s) for s in sharing]
+    assert classes(documents(spark, texts), small=4) == brute(texts)
+
+
 def test_short_texts_and_odd_rows(spark):
     df, rows = odd_documents(spark)
     found = omh.near_duplicates(df).collect()
