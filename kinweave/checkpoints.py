@@ -18,3 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, where it outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """Like cut, without the plan's size estimates: they multiply with each join, so loops over loops make huge numbers of them."""
+    done = cut(df)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)

@@ -11,9 +11,10 @@ Nothing grows with the square of a group:
 - Buckets of up to `small` texts give all their pairs. Larger ones are split by length (similar texts are
   at most a fourth longer, so each goes to two of the classes), and every text of a class is compared
   with two of it that are drawn by hash.
-- Texts linked to neither of the two share a frequent passage with the class rather than most of their
-  words. All their pairs are compared but those that can't be similar: similar texts share one of the
-  fifth of their words that is least frequent among these texts, so pairs come from a join on such words.
+- Where a class is not one component then, its texts are compared with new draws of other components as long
+  as that joins most of what is apart. Then all pairs of different components are compared but those that
+  can't be similar: similar texts share one of the fifth of their words that is least frequent among these
+  texts, so pairs come from a join on such words. No similar pair of a class is left in two components.
 
 Cases: texts without any word are equal if they are the same text; a text of fewer words than a shingle
 is one shingle. A null text is in a class of its own. Rows that share an id are one document. A row
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import fresh
 from ..operators.graph import connected_components
 from .common import cut, map_texts
 
@@ -264,13 +266,19 @@ def near_duplicates(
     pairs = cut(_pairs_in(buckets.filter(F.col("n") <= small)).union(starred).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sequences = cut(_sequences(df, id_col, text_col, nodes))
-    links = cut(_verified(pairs, sequences, threshold).distinct())
-    outside = cut(_outsiders(wide, links))
-    if outside.take(1):
-        more = _possible(outside.withColumn("comp", F.col("node")), sequences, threshold)
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = links.union(cut(_verified(more, sequences, threshold).distinct()))
-    labels = connected_components(links)
+    links = fresh(_verified(pairs, sequences, threshold).distinct())
+    labels, turn, before = connected_components(links), 2, wide.count()
+    left = fresh(_open(wide, labels))
+    while left.take(1):
+        now = left.select("key", "comp").distinct().count()
+        last = 2 * now > before  # draws join little more: all the pairs that are left
+        found = _possible(left, sequences, threshold) if last else _redrawn(left, turn)
+        more = fresh(found.join(pairs, ["a", "b"], "left_anti"))
+        links = links.union(fresh(_verified(more, sequences, threshold).distinct()))
+        pairs, labels = pairs.union(more), connected_components(links)
+        if last:
+            break
+        left, turn, before = fresh(_open(left, labels)), turn + 2, now
     # copies follow their text's representative
     labelled = texts.select("text_key", F.col("rep").alias("node")).join(labels, "node", "left")
     labelled = cut(labelled.select("text_key", F.coalesce("comp", "node").alias("class_id")))
@@ -289,13 +297,18 @@ def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataF
     return rows.select(*df.columns).union(df.filter(F.col(id_col).isNull()))
 
 
-def _outsiders(wide: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node) of the nodes of wide that are linked to no draw of their key, nor drawn themselves."""
-    both = links.union(links.select("b", "a"))
-    rest = wide.filter("node <> d1 AND node <> d2")
-    for d in ("d1", "d2"):
-        rest = rest.join(both.toDF("node", d), ["node", d], "left_anti")
-    return rest.select("key", "node")
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp) of the keys whose nodes are in several components."""
+    placed = rows.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    return placed.join(several.select("key"), "key", "left_semi")
+
+
+def _redrawn(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of rows (key, node, comp) and two newly drawn ones of their key in other components."""
+    draw = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "comp")).alias(f"d{i - turn}")
+    both = rows.join(rows.groupBy("key").agg(draw(turn + 1), draw(turn + 2)), "key").select("node", "comp", F.explode(F.array("d1", "d2")).alias("d"))
+    return both.filter("comp <> d.comp").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
 
 
 def _tokens(seq: bytes) -> np.ndarray:

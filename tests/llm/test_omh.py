@@ -125,6 +125,18 @@ def test_pairs_inside_a_frequent_passage(spark):
     assert classes(documents(spark, texts), small=4) == brute(texts)
 
 
+def test_original_of_different_copies(spark):
+    """Copies that lack another block each are similar to the original, but not to each other."""
+    own = words(8, 500, 2000)
+    texts = [" ".join(own)]
+    for k in range(100):
+        at = k % 5 * 90
+        copy = own[:at] + own[at + 90 :]
+        copy[k * 4] = f"edit{k}"
+        texts.append(" ".join(copy))
+    assert set(classes(documents(spark, texts), small=4, sketches=2, ell=1).values()) == {0}
+
+
 def test_short_texts_and_odd_rows(spark):
     df, rows = odd_documents(spark)
     found = omh.near_duplicates(df).collect()
