@@ -38,7 +38,7 @@ from ..operators.graph import connected_components
 from .common import cut, map_texts
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, SKETCHES, ELL, THRESHOLD, SMALL = 5, 24, 3, 0.8, 16
+SHINGLE, SKETCHES, ELL, THRESHOLD, SMALL = 3, 24, 2, 0.8, 16
 #: Counters for the frequencies of words, which only set an order.
 SLOTS = 1 << 18
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
