@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import fresh
+from ..checkpoints import cut
 from ..operators.graph import connected_components
-from .common import cut, map_texts
+from .common import map_texts
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, SKETCHES, ELL, THRESHOLD, SMALL = 3, 24, 2, 0.8, 16
@@ -266,19 +266,19 @@ def near_duplicates(
     pairs = cut(_pairs_in(buckets.filter(F.col("n") <= small)).union(starred).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sequences = cut(_sequences(df, id_col, text_col, nodes))
-    links = fresh(_verified(pairs, sequences, threshold).distinct())
+    links = cut(_verified(pairs, sequences, threshold).distinct())
     labels, turn, before = connected_components(links), 2, wide.count()
-    left = fresh(_open(wide, labels))
+    left = cut(_open(wide, labels))
     while left.take(1):
         now = left.select("key", "comp").distinct().count()
         last = 2 * now > before  # draws join little more: all the pairs that are left
         found = _possible(left, sequences, threshold) if last else _redrawn(left, turn)
-        more = fresh(found.join(pairs, ["a", "b"], "left_anti"))
-        links = links.union(fresh(_verified(more, sequences, threshold).distinct()))
+        more = cut(found.join(pairs, ["a", "b"], "left_anti"))
+        links = links.union(cut(_verified(more, sequences, threshold).distinct()))
         pairs, labels = pairs.union(more), connected_components(links)
         if last:
             break
-        left, turn, before = fresh(_open(left, labels)), turn + 2, now
+        left, turn, before = cut(_open(left, labels)), turn + 2, now
     # copies follow their text's representative
     labelled = texts.select("text_key", F.col("rep").alias("node")).join(labels, "node", "left")
     labelled = cut(labelled.select("text_key", F.coalesce("comp", "node").alias("class_id")))
