@@ -1,27 +1,57 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Tables written to the shared checkpoint folder and read back: cut lineage, true sizes, nothing lost with an executor."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by spark.checkpoint.dir; sets a local one only where none is named."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir or set on the context. A local master without one gets a temporary folder."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-checkpoints-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, where it outlives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _own_folder(spark: SparkSession) -> str:
+    """One folder for the application's tables, which goes with it."""
+    sc = spark.sparkContext
+    folder = f"{ensure_checkpoint_dir(spark)}/kinweave-{sc.applicationId}"
+    if getattr(sc, "_kinweave_folder", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._kinweave_folder = folder
+    return folder
 
 
-def fresh(df: DataFrame) -> DataFrame:
-    """Like cut, without the plan's size estimates: they multiply with each join, so loops over loops make huge numbers of them."""
-    done = cut(df)
-    rows = done._jdf.queryExecution().toRdd()
-    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once. What reads it sees a Parquet scan of its true size, however long its own plan was."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    # numbered names: those of df may be equal but for their case, or twice the same
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType, True, f.metadata) for n, f in zip(plain, df.schema.fields, strict=True)])
+    df.toDF(*plain).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path).toDF(*df.columns)
+    out._kinweave_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by cut() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_kinweave_path", None):
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            del df._kinweave_path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", comp: str = "comp") -> DataFrame:
@@ -13,31 +13,41 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str
 
     Each round hooks every node to its smallest neighbour, follows the pointers to their roots by
     doubling, and contracts the edges to edges between roots. Stars vanish in one round; long chains
-    shrink at least by half. Loops and null ends are ignored.
+    shrink at least by half. The nodes follow the rounds' pointers once, at the end. Null ends are ignored;
+    a loop is a node without a neighbour.
     """
-    left, right = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-    live = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    labels = live.select(F.explode(F.array(a, b)).alias(node)).distinct().withColumn(comp, F.col(node))
-    live = cut(live.filter(F.col(a) != F.col(b)).select(left, right).distinct())
-    labels = cut(labels)
+    ends = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    first = cut(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    live, rounds = first.filter("a <> b"), []
     while live.take(1):
         both = live.union(live.select("b", "a"))
         hooks = both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("u"), F.least("a", "up").alias("root"))
         hooks = _to_roots(cut(hooks))
         ends = hooks.select(F.col("u").alias("a"), F.col("root").alias("ra"))
-        live = live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-        live = cut(live.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        known = hooks.select(F.col("u").alias(comp), "root")
-        labels = cut(labels.join(known, comp, "left").select(node, F.coalesce("root", comp).alias(comp)))
+        after = live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
+        after = cut(after.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        release(live)
+        live = after
+        rounds.append(hooks)
+    labels = first.select(F.explode(F.array("a", "b")).alias(node)).distinct().withColumn(comp, F.col(node))
+    for hooks in rounds:
+        known = hooks.select(F.col("u").alias(comp), F.col("root").alias("__root"))
+        labels = labels.join(known, comp, "left").select(node, F.coalesce("__root", comp).alias(comp))
+    labels = cut(labels)
+    release(first, live, *rounds)
     return labels
 
 
 def _to_roots(hooks: DataFrame) -> DataFrame:
-    """Pointer doubling on (u, root) until every pointer ends at a root. A root points to itself or isn't listed."""
+    """Pointers (u, root) followed two steps at a time until every one ends at a root. A root points to itself or isn't listed."""
     while True:
-        up = hooks.select(F.col("u").alias("root"), F.col("root").alias("next"))
-        jumped = cut(hooks.join(up, "root", "left").select("u", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
-        hooks = jumped.select("u", "root")
+        up = lambda at, to: hooks.select(F.col("u").alias(at), F.col("root").alias(to))
+        jumped = hooks.join(up("root", "next"), "root", "left").withColumn("next", F.coalesce("next", "root"))
+        jumped = jumped.join(up("next", "last"), "next", "left")
+        to = F.coalesce("last", "next")
+        jumped = cut(jumped.select("u", to.alias("root"), (to != F.col("root")).alias("moved")))
+        release(hooks)
+        hooks = jumped
         if not jumped.filter("moved").take(1):
             return hooks
 
@@ -82,6 +92,9 @@ def leader_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
         ends = live.select(F.explode(F.array("low", "high")).alias("o")).distinct()
         left = after.select(F.explode(F.array("low", "high")).alias("o")).distinct()
         decided.append(cut(ends.join(gone, "o", "left_anti").join(left, "o", "left_anti")))
+        if live is not edges:
+            release(live)
+        release(gone)
         live = after
     if not decided:
         return nodes.select("u", F.col("u").alias("leader"))
@@ -89,6 +102,7 @@ def leader_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     for more in decided[1:]:
         leaders = leaders.union(more)
     leaders = cut(leaders)
+    release(live, *decided)
     taken = edges.join(leaders.withColumnRenamed("o", "low"), "low").join(leaders.withColumnRenamed("o", "high"), "high", "left_anti")
     owned = taken.groupBy(F.col("high.u").alias("u")).agg(F.min("low").alias("leader"))
     return nodes.select("u").join(owned, "u", "left").select("u", F.coalesce("leader.u", "u").alias("leader"))
