@@ -1,46 +1,55 @@
 """Near-duplicates by Order MinHash over word shingles, verified by banded alignment.
 
-A document is the sequence of its shingles (`shingle` words each, lower case). Order MinHash gives each
-shingle its occurrence number, takes the `ell` smallest under each of `sketches` hash functions, and
-keeps them in text order; documents that agree on one such tuple are candidates. A pair is linked if
-its aligned similarity reaches the threshold: the words that can be matched in order, over the words of the
-longer text. Such pairs differ by few edits, so the alignment needs a band around the diagonal only.
-
-Nothing grows with the square of a group:
+A document is the sequence of its shingles (five words each, lower case). Order MinHash gives each shingle its
+occurrence number, takes the `ell` smallest under each of `sketches` hash functions, and keeps them in text
+order; documents that agree on one such tuple are candidates. A pair is linked if its aligned similarity
+reaches the threshold: the shingles that can be matched in order, over the shingles of the longer text. Such
+pairs differ by few edits, so the alignment needs a band around the diagonal only. Of linked pairs at
+the threshold itself two thirds of all their shingles are common, so a pair misses all of 20 sketches of 3 with
+a probability of 0.0009, and with less where it is more similar.
+
+Nothing grows with the square of a group, and no candidate of a bucket is lost:
 - Rows whose words are the same are copies: one of each (smallest id) stands for them.
-- Buckets of up to `small` texts give all their pairs. Larger ones are split by length (similar texts are
-  at most a fourth longer, so each goes to two of the classes), and every text of a class is compared
-  with two of it that are drawn by hash.
-- Where a class is not one component then, its texts are compared with new draws of other components as long
-  as that joins most of what is apart. Then all pairs of different components are compared but those that
-  can't be similar: similar texts share one of the fifth of their words that is least frequent among these
-  texts, so pairs come from a join on such words. No similar pair of a class is left in two components.
-
-Cases: texts without any word are equal if they are the same text; a text of fewer words than a shingle
-is one shingle. A null text is in a class of its own. Rows that share an id are one document. A row
-with a null id has a null class. An empty table gives an empty result. Only the two named columns are read.
+- Buckets of different lengths are split by length (similar texts are at most a fourth longer, so each goes
+  to two of the classes).
+- In rounds, every text is compared with one text of its bucket, drawn by hash, unless they are in one
+  component already, as long as that is worth it.
+- Then all candidates in different components are compared but those that can't be similar: with all shingles
+  in one order, similar texts share one of the first fifth of theirs. By rising frequency the frequent
+  passages come last, so such candidates come from a join on rare shingles: in rounds between one text of
+  each component drawn for each shingle, and at last between all that are still apart. No similar pair of a
+  bucket is left in two components.
+
+Cases: a text of fewer words than a shingle is one shingle; texts without any word are equal if they are the same
+text. A null text is in a class of its own. Rows that share an id are one document. A row with a null id has
+a null class. An empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import cut
+from ..checkpoints import cut, release
 from ..operators.graph import connected_components
 from .common import map_texts
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, SKETCHES, ELL, THRESHOLD, SMALL = 3, 24, 2, 0.8, 16
-#: Counters for the frequencies of words, which only set an order.
-SLOTS = 1 << 18
+SHINGLE, SKETCHES, ELL, THRESHOLD = 5, 20, 3, 0.8
+#: Rounds of draws go on while this share of the compared pairs is linked.
+WORTH = 0.05
+#: Texts drawn at once of each component that has a shingle.
+DRAWS = 4
+#: Shingles that a task hands on at once.
+TOKENS = 500_000
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
@@ -105,12 +114,12 @@ def sketch(values: np.ndarray, count: int = SKETCHES, ell: int = ELL) -> np.ndar
 
 
 def _least(longer: int, threshold: float) -> int:
-    """Words that a text similar to one of `longer` words, or fewer, has in common with it."""
+    """Shingles that a text similar to one of `longer` shingles, or fewer, has in common with it."""
     return int(np.ceil(threshold * longer - 1e-9))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Words matched in order over the words of the longer text, or 0 if that is below the threshold.
+    """Shingles matched in order over those of the longer text, or 0 if that is below the threshold.
 
     A similar pair leaves at most (1 - threshold) of the longer text unmatched, so its alignment stays
     within that many places of the diagonal. A narrow band is tried first: what it matches is certain.
@@ -166,45 +175,37 @@ def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int, ell: int) -> DataFrame:
-    """(id, text_key, n_words, sketch); text_key is the same for texts of the same words, null for a null text."""
+    """(id, text_key, size, sketch, seq): text_key is the same for texts of the same words, null for a null text.
+
+    seq holds the shingles' hashes in order, 32 bits each; size is their number.
+    """
 
     def start():
         hashes = WordHashes()
 
         def work(ids, texts):
-            keys, sizes, found = [], [], []
+            keys, sizes, found, seqs = [], [], [], []
             for text in texts:
                 words = WORD.findall(text.lower()) if text is not None else []
                 whole = " ".join(words) if words else f"\0{text}"
-                keys.append(None if text is None else hashlib.md5(whole.encode("utf-8", "surrogatepass")).hexdigest())
-                sizes.append(len(words))
-                found.append(sketch(shingles(np.array([hashes[x] for x in words], dtype=np.uint64), shingle), sketches, ell).tolist())
-            return {id_col: ids, "text_key": keys, "n_words": sizes, "sketch": found}
-
-        return work
-
-    fields = [T.StructField("text_key", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    return map_texts(df, id_col, text_col, start, fields)
-
-
-def _sequences(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, seq): 32-bit word hashes in order, of the wanted nodes' texts."""
-    picked = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
-
-    def start():
-        hashes = WordHashes()
-
-        def work(ids, texts):
-            return {"node": ids, "seq": [hashed(t, hashes).astype("<u4").tobytes() for t in texts]}
+                keys.append(None if text is None else hashlib.md5(whole.encode("utf-8", "surrogatepass")).digest())
+                runs = shingles(np.array([hashes[x] for x in words], dtype=np.uint64), shingle)
+                sizes.append(len(runs))
+                found.append(sketch(runs, sketches, ell))
+                seqs.append(runs.astype("<u4").tobytes())
+            ends = np.cumsum([0, *map(len, found)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            return {id_col: ids, "text_key": keys, "size": sizes, "sketch": flat, "seq": seqs}
 
         return work
 
-    return map_texts(picked, "node", "text", start, [T.StructField("seq", T.BinaryType())])
+    fields = [("text_key", T.BinaryType()), ("size", T.LongType()), ("sketch", T.ArrayType(T.LongType())), ("seq", T.BinaryType())]
+    return map_texts(df, id_col, text_col, start, [T.StructField(*f) for f in fields])
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
-    own = lambda x: sequences.select(F.col("node").alias(x), F.col("seq").alias(f"seq_{x}"))
+    own = lambda x: texts.select(F.col("node").alias(x), F.col("seq").alias(f"seq_{x}"))
     both = pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "seq_a", "seq_b")
 
     def run(batches):
@@ -215,158 +216,180 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
             ]
             yield batch.select([0, 1]).filter(pa.array(fine, type=pa.bool_()))
 
-    return both.mapInArrow(run, both.select("a", "b").schema)
+    return both.mapInArrow(run, both.select("a", "b").schema).distinct()
+
 
+def _buckets(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, node): the classes of the sketches' buckets by length. A bucket of similar lengths is one class as it is."""
+    keyed = texts.select("node", "size", F.explode("sketch").alias("key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("shortest"), F.max("size").alias("longest"))
+    rows = keyed.join(several.filter("n > 1"), "key")
+    alike = F.col("shortest") >= threshold * F.col("longest")
+    step = F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(1 / threshold)) + 1e-9)
+    classes = F.when(alike, F.array(F.col("key"))).otherwise(F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1)))
+    return rows.select(F.explode(classes).alias("key"), "node").distinct()
 
-def _pairs_in(buckets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the nodes of a key."""
-    left, right = (buckets.select("key", F.col("node").alias(x)) for x in "ab")
-    return left.join(right, "key").filter("a < b").select("a", "b")
 
+def _open(rows: DataFrame) -> DataFrame:
+    """(key, node) of rows (key, node, comp) whose key has several components."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    return rows.join(several.select("key"), "key", "left_semi").select("key", "node")
 
-def _shared(rows: DataFrame, *extra) -> DataFrame:
-    """rows (key, node) of the keys that several nodes have, with their number n and the extra aggregates."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *extra).filter("n > 1")
-    return cut(rows.join(sizes, "key"))
 
+def _drawn(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of rows (key, node, comp) and the one drawn of their key, where that is in another component."""
+    draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("d")
+    both = rows.join(rows.groupBy("key").agg(draw), "key").filter("comp <> d.comp")
+    return both.select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
 
-def _by_length(large: DataFrame, threshold: float) -> DataFrame:
-    """(key, node): the classes of large buckets by length. A bucket of similar lengths is one class as it is."""
-    alike = F.col("shortest") >= threshold * F.col("longest")
-    whole = large.filter(alike).select("key", "node")
-    large = large.filter(~alike)
-    step = F.floor(F.log(F.greatest("n_words", F.lit(1))) / float(np.log(1 / threshold)) + 1e-9)
-    rows = large.select("key", "node", F.explode(F.array(step, step + 1)).alias("step"))
-    return whole.union(rows.select(F.xxhash64("key", "step").alias("key"), "node"))
 
+class _Comparisons:
+    """The pairs compared so far, the links among them, and the components of these."""
 
-def _drawn(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the keys of rows (key, node), and (key, node, d1, d2) of those with more than `small` nodes."""
-    draw = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"].alias(f"d{i}")
-    shared = _shared(rows, draw(1), draw(2))
-    wide = shared.filter(F.col("n") > small).drop("n")
-    pairs = _pairs_in(shared.filter(F.col("n") <= small))
-    for d in ("d1", "d2"):
-        stars = wide.filter(F.col("node") != F.col(d)).select(F.least("node", d).alias("a"), F.greatest("node", d).alias("b"))
-        pairs = pairs.union(stars.distinct())
-    return pairs, wide
+    def __init__(self, texts: DataFrame, threshold: float):
+        self.texts, self.threshold = texts, threshold
+        self.pairs: list[DataFrame] = []
+        self.links: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> float:
+        """Compares the pairs (a, b) that are new; returns the share of them that is linked."""
+        for done in self.pairs:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        self.pairs.append(pairs := cut(pairs))
+        self.links.append(links := cut(_verified(pairs, self.texts, self.threshold)))
+        found = links.count()
+        if found or self.labels is None:
+            if self.labels is not None:
+                release(self.labels)
+            self.labels = connected_components(functools.reduce(DataFrame.union, self.links))
+        return found / max(1, pairs.count())
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with a node, each with its component comp; a node without a link is one by itself."""
+        if self.labels is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def release(self) -> None:
+        release(*self.pairs, *self.links, *filter(None, [self.labels]))
 
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, sketches: int = SKETCHES,
-    ell: int = ELL, threshold: float = THRESHOLD, small: int = SMALL,
+    ell: int = ELL, threshold: float = THRESHOLD, worth: float = WORTH,
 ) -> DataFrame:
-    """(id, class_id) for every row: class_id is the smallest id of the row's class."""
+    """(id, class_id) for every row: class_id is the smallest id of the row's class. worth sets the number of rounds, not the result."""
     rows = cut(signatures(df, id_col, text_col, shingle, sketches, ell).withColumnRenamed(id_col, "node"))
     known = rows.filter(F.col("node").isNotNull() & F.col("text_key").isNotNull())
-    texts = cut(known.groupBy("text_key").agg(F.min("node").alias("rep"), F.any_value("n_words").alias("n_words"), F.any_value("sketch").alias("sketch")))
-    keyed = texts.select(F.col("rep").alias("node"), "n_words", F.explode("sketch").alias("key"))
-    buckets = _shared(keyed, F.min("n_words").alias("shortest"), F.max("n_words").alias("longest"))
-    starred, wide = _drawn(_by_length(buckets.filter(F.col("n") > small), threshold), small)
-    pairs = cut(_pairs_in(buckets.filter(F.col("n") <= small)).union(starred).distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sequences = cut(_sequences(df, id_col, text_col, nodes))
-    links = cut(_verified(pairs, sequences, threshold).distinct())
-    labels, turn, before = connected_components(links), 2, wide.count()
-    left = cut(_open(wide, labels))
-    while left.take(1):
-        now = left.select("key", "comp").distinct().count()
-        last = 2 * now > before  # draws join little more: all the pairs that are left
-        found = _possible(left, sequences, threshold) if last else _redrawn(left, turn)
-        more = cut(found.join(pairs, ["a", "b"], "left_anti"))
-        links = links.union(cut(_verified(more, sequences, threshold).distinct()))
-        pairs, labels = pairs.union(more), connected_components(links)
-        if last:
-            break
-        left, turn, before = cut(_open(left, labels)), turn + 2, now
+    first = F.any_value(F.struct("size", "sketch", "seq")).alias("x")
+    texts = cut(known.groupBy("text_key").agg(F.min("node").alias("node"), first).select("text_key", "node", "x.*"))
+    done = _Comparisons(texts, threshold)
+    left, linked, turn, held = cut(_buckets(texts, threshold)), 1.0, 0, [rows, texts]
+    while linked >= worth and left.take(1):
+        turn += 1
+        linked = done.compare(_drawn(done.placed(left), turn))
+        held.append(left)
+        left = cut(_open(done.placed(left)))
+    if left.take(1):
+        prefixes, linked = _prefixes(done.placed(left), texts, threshold), 1.0
+        while linked >= worth:
+            turn += 1
+            linked = done.compare(_candidates(_drawn_by_token(done.placed(prefixes), turn), threshold))
+        done.compare(_candidates(done.placed(prefixes), threshold))
+        held.append(prefixes)
     # copies follow their text's representative
-    labelled = texts.select("text_key", F.col("rep").alias("node")).join(labels, "node", "left")
-    labelled = cut(labelled.select("text_key", F.coalesce("comp", "node").alias("class_id")))
-    placed = known.join(labelled, "text_key").select(F.col("node").alias(id_col), "class_id")
+    reps = done.placed(texts.select("text_key", "node")).select("text_key", F.col("comp").alias("class_id"))
+    placed = known.join(reps, "text_key").select("node", "class_id")
     rest = rows.filter(F.col("node").isNull() | F.col("text_key").isNull())
-    return placed.union(rest.select(F.col("node").alias(id_col), F.col("node").alias("class_id")))
+    out = cut(placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col))
+    release(*held, left)
+    done.release()
+    return out
 
 
 def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that stay: of each class the one of smallest id, once if rows repeat it. Rows with a null id stay."""
-    kept = classes.filter(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(kept)
-    rows = df.join(kept.select(id_col), id_col, "left_semi")
-    if kept.filter("n > 1").take(1):
-        rows = rows.dropDuplicates([id_col])
-    return rows.select(*df.columns).union(df.filter(F.col(id_col).isNull()))
+    """The rows of df that stay: of each class the one of smallest id. Rows with a null id stay.
 
-
-def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, comp) of the keys whose nodes are in several components."""
-    placed = rows.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    return placed.join(several.select("key"), "key", "left_semi")
-
-
-def _redrawn(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of the nodes of rows (key, node, comp) and two newly drawn ones of their key in other components."""
-    draw = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "comp")).alias(f"d{i - turn}")
-    both = rows.join(rows.groupBy("key").agg(draw(turn + 1), draw(turn + 2)), "key").select("node", "comp", F.explode(F.array("d1", "d2")).alias("d"))
-    return both.filter("comp <> d.comp").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+    Where several rows have that id, one stays: the first by their columns' values in order.
+    """
+    chosen = classes.filter(F.col(id_col) == F.col("class_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    chosen = cut(chosen)
+    rows = df.join(chosen.select(id_col), id_col, "left_semi").select(*df.columns)
+    if chosen.filter("n > 1").take(1):
+        once = rows.join(chosen.filter("n = 1").select(id_col), id_col, "left_semi").select(*df.columns)
+        several = rows.join(chosen.filter("n > 1").select(id_col), id_col, "left_semi")
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        first = several.groupBy(F.col(id_col).alias("__id")).agg(F.min(whole).alias("__row"))
+        rows = once.union(first.select(*[F.col("__row")[c].alias(c) for c in df.columns]))
+    return rows.union(df.filter(F.col(id_col).isNull()))
 
 
 def _tokens(seq: bytes) -> np.ndarray:
-    """The words of a sequence, each with its occurrence number, as one hash each."""
-    words = np.frombuffer(seq, "<u4").astype(np.uint64)
-    return mix(words + occurrences(words) * np.uint64(_GOLDEN))
+    """The shingles of a sequence, each with its occurrence number, as one hash each."""
+    runs = np.frombuffer(seq, "<u4").astype(np.uint64)
+    return mix(runs + occurrences(runs) * np.uint64(_GOLDEN)).view(np.int64)
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """How many of the rows' sequences hold a token, by the last bits of the token."""
+def _prefixes(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(token, node, size, after, keys): the shingles by which candidates of rows (key, node, comp) can be similar.
 
-    def run(batches):
-        counts = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            for seq in batch.column(0).to_pylist():
-                counts += np.bincount(np.unique(_tokens(seq) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
-
-    found = rows.select("seq").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def _possible(rows: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of rows (key, node, comp) of one key and two components, but those that can't be similar.
-
-    Of n words, similar texts share n - m + 1 or more with m = n - least + 1, so with all texts' words in one
-    order, they share one of their first m. Any order is right; by rising frequency the frequent passage is
-    last, and few texts share what comes first.
+    Of n shingles, similar texts share `least` or more, so with all shingles in one order they share one of their
+    first n - least + 1. A shingle that no other component has is never shared; those come first, then
+    the others by their number of texts. `after` counts a text's shingles from this one on.
     """
-    nodes = rows.groupBy("node", "comp").agg(F.collect_set("key").alias("keys")).join(sequences, "node")
-    nodes = cut(nodes.select("node", "comp", "keys", "seq"))
-    sent = nodes.sparkSession.sparkContext.broadcast(_common(nodes))
+    nodes = rows.groupBy("node", "comp").agg(F.collect_set("key").alias("keys"))  # twice `sketches` at most
+    nodes = cut(nodes.join(texts.select("node", "size", "seq"), "node"))
 
     def run(batches):
-        counts = sent.value
         for batch in batches:
-            first, sizes = [], []
-            for seq in batch.column(3).to_pylist():
-                tokens = _tokens(seq)
-                n = len(tokens)
-                order = np.lexsort((tokens, counts[(tokens % np.uint64(SLOTS)).astype(np.int64)]))
-                first.append(tokens[order[: n - _least(n, threshold) + 1]].view(np.int64))
-                sizes.append(n)
-            arrays = [batch.column(i) for i in range(3)] + [pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "comp", "keys", "n_words", "first"])
-
-    schema = T.StructType([*nodes.schema.fields[:3], T.StructField("n_words", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
-    tokens = nodes.mapInArrow(run, schema).select("node", "comp", "keys", "n_words", F.explode("first").alias("token"))
-    several = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    tokens = cut(tokens.join(several, "token", "left_semi"))
-    comps = tokens.select("token", "comp").distinct()
+            at, sizes = 0, np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))
+            while at < len(sizes):  # some texts at once, or a long one
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOKENS)))
+                found = [_tokens(x) for x in batch.column(3).slice(at, end - at).to_pylist()]
+                again = pa.array(np.repeat(np.arange(at, end), [len(x) for x in found]))
+                columns = [*[batch.column(i).take(again) for i in range(3)], pa.array(np.concatenate(found))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "comp", "size", "token"])
+                at = end
+
+    kinds = nodes.select("node", "comp", "size").schema.fields
+    tokens = nodes.select("node", "comp", "size", "seq").mapInArrow(run, T.StructType([*kinds, T.StructField("token", T.LongType())]))
+    tokens = cut(tokens)
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    mine = tokens.join(counts.filter("x <> y").select("token", "n"), "token")
+    ordered = mine.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    apart = F.col("size") - F.size("shared")
+    most = F.greatest(F.lit(0), F.col("size") - _needed(F.col("size"), threshold) + 1 - apart)
+    first = F.slice("shared", F.lit(1), most.cast("int"))
+    found = ordered.select("node", "size", apart.alias("apart"), F.posexplode(first).alias("i", "t"))
+    found = found.select("node", "size", (F.col("size") - F.col("apart") - F.col("i")).alias("after"), "t.token")
+    found = cut(found.join(nodes.select("node", "keys"), "node"))
+    release(nodes, tokens)
+    return found
+
+
+def _needed(longer: Column, threshold: float) -> Column:
+    return F.ceil(threshold * longer - 1e-9)
+
+
+def _drawn_by_token(prefixes: DataFrame, turn: int) -> DataFrame:
+    """Of each token's rows a few of each component, drawn by hash."""
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)), "node"))["node"].alias(f"d{i}") for i in range(DRAWS)]
+    drawn = prefixes.groupBy("token", "comp").agg(*draws)
+    drawn = drawn.select("token", F.explode(F.array_distinct(F.array(*[f"d{i}" for i in range(DRAWS)]))).alias("node"))
+    return prefixes.join(drawn, ["token", "node"], "left_semi")
+
+
+def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of prefixes' nodes of two components that share a key and a token, with enough shingles after it.
+
+    Components are paired first: texts of one component, however many have a token, never meet.
+    """
+    comps = prefixes.select("token", "comp").distinct()
     both = comps.withColumnRenamed("comp", "comp_a").join(comps.withColumnRenamed("comp", "comp_b"), "token").filter("comp_a < comp_b")
     for x in "ab":
-        own = tokens.select("token", F.col("comp").alias(f"comp_{x}"), F.col("node").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("n_words").alias(f"n_{x}"))
-        both = both.join(own, ["token", f"comp_{x}"])
-    fine = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
-    both = both.filter(fine & F.arrays_overlap("keys_a", "keys_b"))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        own = [F.col(c).alias(f"{c}_{x}") for c in ("comp", "node", "size", "after", "keys")]
+        both = both.join(prefixes.select("token", *own), ["token", f"comp_{x}"])
+    need = _needed(F.greatest("size_a", "size_b"), threshold)
+    both = both.filter((F.col("after_a") >= need) & (F.col("after_b") >= need) & F.arrays_overlap("keys_a", "keys_b"))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
