@@ -4,9 +4,9 @@
    A piece is numbered among those of its length within its Spark partition, in the same pass.
 2. Sizes are whole numbers up to the capacity, so the packing problem is the histogram of sizes, of
    `capacity` entries however many documents there are. Bin completion runs on it on the driver: around
-   the largest remaining size it enumerates undominated fillings, applies one as often as the counts
-   allow, and prunes by waste bounds; best-fit solutions are the incumbents. The result is a list of
-   patterns with their multiplicities.
+   the largest remaining size it enumerates undominated fillings, prunes by waste bounds, and starts from
+   the best-fit solution as the incumbent. The result is a list of patterns with their multiplicities. The
+   search ends where the incumbent meets the lower bound, or after `nodes` patterns.
 3. A piece finds its place from its size and its rank among the pieces of that size.
 
 Cases: a null text is empty and gives one piece, the end token alone. An empty table gives an empty
@@ -16,10 +16,11 @@ result. Repeated rows are packed one by one. A null id is kept. Only the two nam
 from __future__ import annotations
 
 import base64
-import sys
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +32,27 @@ from pyspark.sql import types as T
 from .common import cut, map_texts
 
 CAPACITY, END_ID = 1024, 2
-#: Nodes that the search may visit, and fillings tried at a node.
-NODES, BRANCHES = 20_000, 4
+#: Patterns that the search may try.
+NODES = 12_000
+#: Orders of fillings: where the larger size of a pair stands in their sum.
+LEANS = (0.5, 1.0, 0.6, 0.9, 0.7, 0.8)
 
 
-def bpe_encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Ids of a byte-level BPE vocabulary; strings that look like special tokens are ordinary text."""
+def bpe_encoder(path: str, pattern: str, special: dict[str, int]) -> Callable[[str], np.ndarray]:
+    """Ids of a byte-level BPE vocabulary. The special tokens' strings have ids of their own wherever they stand."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def gpt_style_encoder() -> Callable[[str], np.ndarray]:
     """The ids of byte_bpe_50k.json, made from the file of the same vocabulary that is read fastest."""
     import public_tokenizers
 
-    return bpe_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -87,6 +90,19 @@ def tokenize(
 # Packing of the histogram. A pattern is a tuple of sizes, largest first.
 
 
+@dataclass
+class Plan:
+    """Patterns with their multiplicities. `bound` sequences are needed at least; `proven`: no fewer are possible."""
+
+    patterns: list[tuple[tuple[int, ...], int]]
+    bound: int
+    proven: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit-decreasing patterns: the largest size opens sequences, and what fits closest follows."""
     left, out = {s: n for s, n in counts.items() if n}, []
@@ -100,21 +116,16 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
             spare[size] -= 1
             if not spare[size]:
                 del spare[size]
-        out.append((tuple(pattern), _apply(left, pattern)))
+        need = Counter(pattern)
+        times = min(left[s] // n for s, n in need.items())
+        for s, n in need.items():
+            left[s] -= times * n
+            if not left[s]:
+                del left[s]
+        out.append((tuple(pattern), times))
     return out
 
 
-def _apply(left: dict[int, int], pattern: list[int] | tuple[int, ...]) -> int:
-    """Uses the pattern as often as the counts allow."""
-    need = Counter(pattern)
-    times = min(left[s] // n for s, n in need.items())
-    for s, n in need.items():
-        left[s] -= times * n
-        if not left[s]:
-            del left[s]
-    return times
-
-
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: sizes over capacity - k stand alone, and those of k or more need room."""
     best = -(-sum(s * n for s, n in counts.items()) // capacity)
@@ -133,109 +144,150 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, limit: int, steps: int = 4_000) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, fullest first.
-
-    A filling is dominated if one of its sizes, or a pair of them, could be replaced by one larger size
-    that still fits; such a replacement leaves smaller pieces, which are easier to place.
+def reachable(left: list[int], room: int) -> tuple[list[int], list[int]]:
+    """The sizes left up to the room, and for each i the sums that the first i of them reach, as bits."""
+    mask, bits, sizes, sums = (1 << (room + 1)) - 1, 1, [], [1]
+    for s in range(1, room + 1):
+        if n := min(left[s], room // s):
+            k = 1
+            while n > 0:  # multiplicities by doubling
+                bits |= bits << (s * min(k, n))
+                n -= k
+                k *= 2
+            bits &= mask
+            sizes.append(s)
+            sums.append(bits)
+    return sizes, sums
+
+
+def _of_sum(left: list[int], sizes: list[int], sums: list[int], i: int, total: int) -> Iterator[tuple[int, ...]]:
+    """All fillings of just this sum with the first i sizes, those with the largest sizes first. No step is in vain."""
+    if not total:
+        yield ()
+        return
+    i = min(i, bisect_right(sizes, total))
+    while i and sums[i] >> total & 1:
+        s = sizes[i - 1]
+        for times in range(min(left[s], total // s), 0, -1):
+            if sums[i - 1] >> (total - times * s) & 1:
+                for rest in _of_sum(left, sizes, sums, i - 1, total - times * s):
+                    yield (s,) * times + rest
+        i -= 1
+
+
+def fillings(left: list[int], room: int, lean: float = 1.0) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of the room, fullest first.
+
+    A filling is dominated if one of its sizes, or two together, could be replaced by one larger size that
+    still fits; such a replacement leaves smaller pieces, which are easier to place. Among the fullest, pairs
+    come first, from that whose larger size is nearest to the share `lean` of the sum.
     """
-    sizes = sorted((s for s in counts if s <= room), reverse=True)
-    if not sizes:
-        return [()]
-    if sizes[0] == room:  # a single piece fills it: it dominates every other filling
-        return [(room,)]
-    found: dict[tuple[int, ...], int] = {}
-    visits = 0
-
-    def extend(chosen: list[int], at: int, rest: int) -> None:
-        nonlocal visits
-        visits += 1
-        smallest = sizes[-1]
-        if rest < smallest or at == len(sizes):
-            found[tuple(chosen)] = rest
+    sizes, sums = reachable(left, room)
+    fullest = sums[-1].bit_length() - 1
+    if not fullest:
+        yield ()
+        return
+    if left[fullest]:
+        yield (fullest,)
+        if fullest == room:  # a single piece fills it: it dominates every other filling
             return
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > rest or chosen.count(s) >= counts[s]:
+    pairs = [(a, fullest - a) for a in range(fullest - 1, (fullest - 1) // 2, -1) if left[a] and left[fullest - a] > (2 * a == fullest)]
+    if lean < 1:
+        pairs.sort(key=lambda f: abs(f[0] - lean * fullest))
+    yield from pairs
+    for total in range(fullest, 0, -1):
+        rest = room - total
+        if not sums[-1] >> total & 1:
+            continue
+        for f in _of_sum(left, sizes, sums, len(sizes), total):
+            if total == fullest and len(f) <= 2:
                 continue
-            extend([*chosen, s], i, rest - s)
-            if visits > steps or (rest == s and len(chosen) < 2):
-                return
-        if not found:
-            found[tuple(chosen)] = rest
-
-    extend([], 0, room)
-    ranked = sorted(found, key=lambda f: (found[f], len(f), [-s for s in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        rest = found[f]
-        larger = any(s < t <= s + rest and counts[t] > f.count(t) for s in set(f) for t in _near(counts, s, s + rest))
-        merged = any(a + b in counts and counts[a + b] > f.count(a + b) for i, a in enumerate(f) for b in f[i + 1 :])
-        if not (larger or merged) or not kept:
-            kept.append(f)
-        if len(kept) >= limit:
-            break
-    return kept
-
+            larger = rest and any(left[t] > f.count(t) for s in set(f) for t in range(s + 1, s + rest + 1))
+            merged = any(left[a + b] > f.count(a + b) for i, a in enumerate(f) for b in f[i + 1 :] if a + b <= room)
+            if not larger and not merged:
+                yield f
 
-def _near(counts: dict[int, int], low: int, high: int):
-    return (t for t in range(low + 1, high + 1) if t in counts)
 
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """Patterns that place every size, in as few sequences as the search finds.
 
-def complete_bins(
-    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branches: int = BRANCHES
-) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with multiplicities that place every size, in as few sequences as the search finds.
-
-    It ends early when an incumbent meets the lower bound. `nodes` bounds the effort, never the pieces.
+    Branch and bound over patterns: the largest size left opens the next sequence, its undominated fillings are
+    the branches, each used as often as the counts allow, and once. A branch is cut where its waste so far, or
+    the sizes over half the capacity, leave no way to a better result. Best fit is the first incumbent. The search
+    starts anew for each order of the fillings in LEANS, and shares `nodes` patterns among them: that bounds
+    the effort, not the pieces. The plan holds the lower bound, so the gap is known.
     """
     best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
     bound = lower_bound(counts, capacity) if counts else 0
-    if fewest == bound:
-        return best
-    total = sum(s * n for s, n in counts.items())
-    visited = 0
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
-
-    def search(left: dict[int, int], used: int, waste: int, path: list) -> bool:
-        nonlocal best, fewest, visited
-        visited += 1
-        if not left:
-            if used < fewest:
-                best, fewest = list(path), used
-            return fewest == bound
-        # all waste so far stays; the rest needs its own tokens at least
-        if -(-(total + waste) // capacity) >= fewest or used + lower_bound_fast(left, capacity) >= fewest:
-            return False
-        if visited % 64 == 1:  # best fit from here may improve the incumbent
-            rest = best_fit(left, capacity)
-            if (n := used + sum(t for _, t in rest)) < fewest:
-                best, fewest = [*path, *rest], n
-                if fewest == bound:
-                    return True
-        largest = max(left)
-        others = dict(left)
-        others[largest] -= 1
-        if not others[largest]:
-            del others[largest]
-        for filling in fillings(others, capacity - largest, branches):
-            pattern = (largest, *filling)
-            after = dict(left)
-            times = _apply(after, pattern)
-            if search(after, used + times, waste + times * (capacity - sum(pattern)), [*path, (pattern, times)]):
-                return True
-            if visited >= nodes:
-                return False
-        return False
-
-    search(dict(counts), 0, 0, [])
-    return best
+    plan = Plan(best, bound, False)
+    ended = False
+    for i, lean in enumerate(LEANS):
+        if plan.sequences == bound or ended:
+            break
+        ended = _search(counts, capacity, plan, lean, nodes * (i + 1) // len(LEANS) - nodes * i // len(LEANS))
+    plan.proven = ended or plan.sequences == bound
+    return plan
 
 
-def lower_bound_fast(counts: dict[int, int], capacity: int) -> int:
-    large = sum(n for s, n in counts.items() if 2 * s > capacity)
-    return max(large, -(-sum(s * n for s, n in counts.items()) // capacity))
+def _search(counts: dict[int, int], capacity: int, plan: Plan, lean: float, nodes: int) -> bool:
+    """Improves the plan; True if all branches were seen. State is changed in place and undone on the way back."""
+    left = [0] * (capacity + 1)
+    for s, n in counts.items():
+        left[s] = n
+    tokens = sum(s * n for s, n in counts.items())
+    over_half = sum(n for s, n in counts.items() if 2 * s > capacity)
+    fewest, used, waste, top = plan.sequences, 0, 0, capacity
+    path: list[tuple[tuple[int, ...], int, int]] = []  # pattern, times, the top size before
+    branches: list[Iterator[tuple[tuple[int, ...], int]]] = []
+
+    def options(top: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        left[top] -= 1  # the one that opens the sequence
+        found = fillings(left, capacity - top, lean)
+        while True:
+            f = next(found, None)
+            left[top] += 1
+            if f is None:
+                return
+            pattern = (top, *f)
+            times = min(left[s] // n for s, n in Counter(pattern).items())
+            yield pattern, times
+            if times > 1:
+                yield pattern, 1
+            left[top] -= 1
+
+    while True:
+        while top and not left[top]:
+            top -= 1
+        if not top and used < fewest:
+            plan.patterns, fewest = [(p, n) for p, n, _ in path], used
+            if fewest == plan.bound:
+                return True
+        hopeless = not top or tokens + waste > (fewest - 1) * capacity or used + over_half >= fewest
+        if not hopeless:
+            if nodes <= 0:
+                return False
+            branches.append(options(top))
+        while branches:
+            if len(path) == len(branches):  # back from a branch
+                pattern, times, top = path.pop()
+                for s in pattern:
+                    left[s] += times
+                    over_half += times * (2 * s > capacity)
+                used -= times
+                waste -= times * (capacity - sum(pattern))
+            if (step := next(branches[-1], None)) is not None:
+                break
+            branches.pop()
+        else:
+            return True
+        pattern, times = step
+        nodes -= 1
+        path.append((pattern, times, top))
+        for s in pattern:
+            left[s] -= times
+            over_half -= times * (2 * s > capacity)
+        used += times
+        waste += times * (capacity - sum(pattern))
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -262,7 +314,7 @@ def pack(
     bases = cut(counts.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     histogram = {r[0]: r[1] for r in bases.groupBy("length").agg(F.sum("n")).collect()}  # `capacity` rows at most
     full = histogram.pop(capacity, 0)
-    patterns = complete_bins(histogram, capacity, nodes)
+    patterns = complete_bins(histogram, capacity, nodes).patterns
     plan = slots([((capacity,), full)] if full else []) + [
         (s, r, n, q + full, o) for s, r, n, q, o in slots(patterns)
     ]
