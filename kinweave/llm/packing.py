@@ -160,19 +160,31 @@ def reachable(left: list[int], room: int) -> tuple[list[int], list[int]]:
     return sizes, sums
 
 
-def _of_sum(left: list[int], sizes: list[int], sums: list[int], i: int, total: int) -> Iterator[tuple[int, ...]]:
-    """All fillings of just this sum with the first i sizes, those with the largest sizes first. No step is in vain."""
+def _of_sum(
+    left: list[int], sizes: list[int], sums: list[int], i: int, total: int, rest: int, chosen: tuple[int, ...] = ()
+) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of just this sum with the first i sizes after the chosen ones, those with the largest sizes first.
+
+    Sizes come in falling order, so whatever could replace one, or two together, has been chosen or not by then.
+    """
     if not total:
-        yield ()
+        yield chosen
         return
     i = min(i, bisect_right(sizes, total))
     while i and sums[i] >> total & 1:
-        s = sizes[i - 1]
-        for times in range(min(left[s], total // s), 0, -1):
-            if sums[i - 1] >> (total - times * s) & 1:
-                for rest in _of_sum(left, sizes, sums, i - 1, total - times * s):
-                    yield (s,) * times + rest
         i -= 1
+        s = sizes[i]
+        if any(left[t] > chosen.count(t) for t in range(s + 1, s + rest + 1)):
+            continue
+        room = total + rest + sum(chosen)
+        if any(s + c <= room and left[s + c] > chosen.count(s + c) for c in set(chosen)):
+            continue
+        most = min(left[s], total // s)
+        if most > 1 and 2 * s <= room and left[2 * s] > chosen.count(2 * s):
+            most = 1
+        for times in range(most, 0, -1):
+            if sums[i] >> (total - times * s) & 1:
+                yield from _of_sum(left, sizes, sums, i, total - times * s, rest, chosen + (s,) * times)
 
 
 def fillings(left: list[int], room: int, lean: float = 1.0) -> Iterator[tuple[int, ...]]:
@@ -196,16 +208,8 @@ def fillings(left: list[int], room: int, lean: float = 1.0) -> Iterator[tuple[in
         pairs.sort(key=lambda f: abs(f[0] - lean * fullest))
     yield from pairs
     for total in range(fullest, 0, -1):
-        rest = room - total
-        if not sums[-1] >> total & 1:
-            continue
-        for f in _of_sum(left, sizes, sums, len(sizes), total):
-            if total == fullest and len(f) <= 2:
-                continue
-            larger = rest and any(left[t] > f.count(t) for s in set(f) for t in range(s + 1, s + rest + 1))
-            merged = any(left[a + b] > f.count(a + b) for i, a in enumerate(f) for b in f[i + 1 :] if a + b <= room)
-            if not larger and not merged:
-                yield f
+        if sums[-1] >> total & 1:
+            yield from (f for f in _of_sum(left, sizes, sums, len(sizes), total, room - total) if total < fullest or len(f) > 2)
 
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
