@@ -4,9 +4,10 @@
    `min_count` times or more); every other word is the unknown word.
 2. Bigrams of word ids are counted over all documents, and over those of the target; the most frequent
    `max_bigrams` of the background keep counts of their own in both models, so that they match.
-3. p(w | v) = lambda * c(v, w) / c(v) + (1 - lambda) * (c(w) + 1) / (n + words), alike in both models; a
-   document's score is the mean over its words of log2 p_background - log2 p_target. Below 0 it is nearer
-   to the target.
+3. p(w | v) = lambda * c(v, w) / c(v) + b(v) * (c(w) + 1) / (n + words), alike in both models. b(v) is what the
+   history's bigrams with counts of their own leave of 1, so that each history's probabilities sum to 1; it is 1
+   for a history that the model hasn't seen. A document's score is the mean over its words of log2 p_background
+   - log2 p_target. Below 0 it is nearer to the target.
 
 Counts cover every document. The two bounds are the models' size, which is broadcast; what is gathered
 grows with the input and is summed up by key after a pre-aggregation in each task.
@@ -144,17 +145,51 @@ def train(
     return Models(index, kept["key"].to_numpy()[order], counts[order], unigrams, histories)
 
 
-def log_probabilities(models: Models, ids: np.ndarray, weight: float = LAMBDA) -> np.ndarray:
-    """log2 p by word and model (background, target)."""
-    history = np.concatenate([[1], ids[:-1]])
-    keys = history * models.size + ids
-    at = np.searchsorted(models.keys, keys)
-    at[at == len(models.keys)] = 0
-    known = models.keys[at] == keys if len(models.keys) else np.zeros(len(keys), bool)
-    pair = np.where(known[:, None], models.bigrams[at] if len(models.keys) else 0, 0)
-    single = (models.unigrams[ids] + 1) / (models.unigrams.sum(axis=0) + models.size)
-    follows = pair / np.maximum(1, models.histories[history])
-    return np.log2(weight * follows + (1 - weight) * single)
+@dataclass
+class Scorer:
+    """The models as probabilities. Columns: background, target."""
+
+    models: Models
+    weight: float = LAMBDA
+
+    def __post_init__(self):
+        m = self.models
+        self.single = (m.unigrams + 1) / (m.unigrams.sum(axis=0) + m.size)
+        seen = np.maximum(1, m.histories)
+        history = m.keys // m.size
+        self.follows = self.weight * m.bigrams / seen[history]
+        self.keys = np.append(m.keys, np.iinfo(np.int64).max)  # a place for what is above all keys
+        self.follows = np.concatenate([self.follows, np.zeros((1, 2))])
+        own = np.stack([np.bincount(history, weights=m.bigrams[:, i], minlength=m.size) for i in (0, 1)], axis=1)
+        self.backoff = 1 - self.weight * own / seen
+
+    def log_probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log2 p by word and model, of texts one after another that begin at `starts`."""
+        history = np.empty_like(ids)
+        history[1:] = ids[:-1]
+        history[starts] = 1
+        keys = history * self.models.size + ids
+        at = np.searchsorted(self.keys, keys)
+        found = np.flatnonzero(self.keys[at] == keys)
+        p = self.backoff[history] * self.single[ids]
+        p[found] += self.follows[at[found]]
+        return np.log2(p)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words, and mean losses by text and model (of texts without words: of no meaning)."""
+        get, flat, ends = self.models.words.get, [], [0]
+        for text in texts:
+            flat += [get(w, 0) for w in words_of(text)]
+            ends.append(len(flat))
+        ends = np.array(ends)
+        sizes = np.diff(ends)
+        losses = np.zeros((len(texts), 2))
+        if flat:
+            some = np.flatnonzero(sizes)
+            starts = ends[:-1][some]
+            sums = np.add.reduceat(self.log_probabilities(np.array(flat, dtype=np.int64), starts), starts, axis=0)
+            losses[some] = -sums / sizes[some, None]
+        return sizes, losses
 
 
 def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA) -> DataFrame:
@@ -162,21 +197,19 @@ def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str =
     sent = df.sparkSession.sparkContext.broadcast(models)
 
     def start():
-        models = sent.value
-
-        def one(text):
-            ids = models.ids(words_of(text))
-            if not len(ids):
-                return 0, None, None, None
-            background, target = -log_probabilities(models, ids, weight).mean(axis=0)
-            return len(ids), float(target), float(background), float(target - background)
+        scorer = Scorer(sent.value, weight)
 
         def work(ids, texts):
-            rows = [one(t) for t in texts]
-            names = ("n_words", "h_target", "h_background", "score")
-            return {id_col: ids} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
+            sizes, losses = scorer.score(texts)
+            none = sizes == 0
+            column = lambda x: pa.array(x, mask=none)
+            background, target = losses[:, 0], losses[:, 1]
+            return {
+                id_col: ids, "n_words": pa.array(sizes), "h_target": column(target), "h_background": column(background),
+                "score": column(target - background),
+            }
 
         return work
 
     fields = [T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("h_target", "h_background", "score")]]
-    return map_texts(df, id_col, text_col, start, fields)
+    return map_texts(df, id_col, text_col, start, fields, batch_chars=1_000_000)

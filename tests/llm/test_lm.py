@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from kinweave.llm import lm
@@ -24,6 +25,10 @@ def brute(texts, target, min_count, max_words, weight=lm.LAMBDA):
             bi[m].update(zip(x, x[1:], strict=False))
             hist[m].update(x[:-1])
     kept = {b for b, n in bi[0].items() if n >= lm.MIN_BIGRAM}
+    own = [Counter(), Counter()]
+    for m in (0, 1):
+        for v, w in kept:
+            own[m][v] += bi[m][v, w]
     out = {}
     for i, x in known.items():
         h = []
@@ -32,7 +37,8 @@ def brute(texts, target, min_count, max_words, weight=lm.LAMBDA):
             for v, w in zip(x, x[1:], strict=False):
                 pair = bi[m][v, w] if (v, w) in kept else 0
                 single = (uni[m][w] + 1) / (sum(uni[m].values()) + len(vocabulary) + 2)
-                logs.append(math.log2(weight * pair / max(1, hist[m][v]) + (1 - weight) * single))
+                rest = 1 - weight * own[m][v] / max(1, hist[m][v])
+                logs.append(math.log2(weight * pair / max(1, hist[m][v]) + rest * single))
             h.append(-sum(logs) / len(logs) if logs else None)
         out[i] = (len(x) - 1, *h, h[0] - h[1] if h[0] is not None else None)
     return out
@@ -52,6 +58,18 @@ def test_against_brute_force(spark, max_words):
         assert [r.h_target, r.h_background, r.score] == (pytest.approx(rest, rel=1e-9) if n else [None] * 3)
 
 
+@pytest.mark.parametrize("max_bigrams", [1_000_000, 100])
+def test_probabilities_of_a_history_sum_to_one(spark, max_bigrams):
+    df = documents(spark, [" ".join(words(i % 7, 60, 60)) for i in range(40)])
+    models = lm.train(df, spark.createDataFrame([(i,) for i in range(0, 40, 9)], "i long"), max_bigrams=max_bigrams)
+    scorer = lm.Scorer(models)
+    assert (models.histories[:, 1] == 0).any()  # one that the target never had, too
+    for v in range(models.size):
+        ids = np.array([x for w in range(models.size) for x in (v, w)], dtype=np.int64)
+        found = scorer.log_probabilities(ids, np.arange(0, len(ids), 2))[1::2]
+        assert np.allclose(np.exp2(found).sum(axis=0), 1)
+
+
 def test_odd_rows(spark):
     df, rows = odd_documents(spark)
     found = lm.score(df, lm.train(df, spark.createDataFrame([(5,)], "doc_id long"))).collect()
