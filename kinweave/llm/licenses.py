@@ -166,7 +166,7 @@ def scan_text(text: str | None, finder: ahocorasick.Automaton, base: dict, notic
         for m in _EXPRESSION.finditer(text):
             if (found := evaluate(to_postfix(m[1]))) is not None:
                 openings.append(found[0])
-                labels.update(x for x in found[1] if openness(x) != UNKNOWN)
+                labels.update(found[1])
                 expressions.append(m[1].strip())
     return {
         "n_words": len(words),
