@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from .common import cut, map_texts
 
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of word characters; those that aren't letters (numerals such as ² and Ⅷ count as word characters) part them.
+RUN = re.compile(r"[^\W\d_]+")
 MAX_DOCS, MAX_ENTRIES, MAX_GRAM, MIN_COUNT, PENALTY = 8_000, 100_000, 5, 2, 7.0
 #: The score is the winner's share when the mean log scores are weighed by at most so many words.
 SCORE_WORDS = 20
@@ -43,6 +44,14 @@ class Model:
     scores: np.ndarray  # a row for each word and n-gram: log10 relative frequency by language
 
 
+def words_of(text: str | None) -> list[str]:
+    """Words of letters, in lower case."""
+    runs = RUN.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split()]
+
+
 def grams_of(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -64,7 +73,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(label, Counter()).update(WORD.findall(text.lower()))
+                counts.setdefault(label, Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > 500_000:
                 yield _rows(counts)
                 counts = {}
@@ -168,7 +177,7 @@ class Scorer:
         return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         counts = Counter(words)

@@ -59,3 +59,8 @@ def test_held_out_accuracy(spark):
     rows = found.filter("held_out AND lang IS NOT NULL").select((F.col("lang") == F.col("lang_pred")).alias("ok"), "doc_id").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
     assert sum(r.ok for r in rows) / len(rows) >= 0.97
+
+
+def test_numerals_are_no_letters(spark):
+    found = langid.identify(documents(spark, ["² ½ Ⅷ ①", "Ⅷ", "x²", "12 _ !"]), langid.train(documents(spark, ["one two x"] * 3)))
+    assert [r.lang_pred for r in found.orderBy("doc_id").collect()] == ["und", "und", "en", "und"]
