@@ -254,8 +254,8 @@ class _Comparisons:
 
     def compare(self, pairs: DataFrame) -> float:
         """Compares the pairs (a, b) that are new; returns the share of them that is linked."""
-        for done in self.pairs:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if self.pairs:
+            pairs = pairs.join(functools.reduce(DataFrame.union, self.pairs), ["a", "b"], "left_anti")
         self.pairs.append(pairs := cut(pairs))
         self.links.append(links := cut(_verified(pairs, self.texts, self.threshold)))
         found = links.count()
@@ -281,27 +281,33 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, class_id) for every row: class_id is the smallest id of the row's class. worth sets the number of rounds, not the result."""
     rows = cut(signatures(df, id_col, text_col, shingle, sketches, ell).withColumnRenamed(id_col, "node"))
-    known = rows.filter(F.col("node").isNotNull() & F.col("text_key").isNotNull())
+    fine = F.col("node").isNotNull() & F.col("text_key").isNotNull()
     first = F.any_value(F.struct("size", "sketch", "seq")).alias("x")
-    texts = cut(known.groupBy("text_key").agg(F.min("node").alias("node"), first).select("text_key", "node", "x.*"))
-    done = _Comparisons(texts, threshold)
-    left, linked, turn, held = cut(_buckets(texts, threshold)), 1.0, 0, [rows, texts]
+    texts = cut(rows.filter(fine).groupBy("text_key").agg(F.min("node").alias("node"), first).select("text_key", "node", "x.*"))
+    ids, reps = cut(rows.select("node", "text_key")), cut(texts.select("text_key", "node"))
+    release(rows)
+    left = cut(_buckets(texts, threshold))
+    # of the sequences only those of texts with a candidate travel
+    candidates = cut(texts.select("node", "size", "seq").join(left.select("node").distinct(), "node", "left_semi"))
+    release(texts)
+    done = _Comparisons(candidates, threshold)
+    linked, turn, held = 1.0, 0, [ids, reps, candidates]
     while linked >= worth and left.take(1):
         turn += 1
         linked = done.compare(_drawn(done.placed(left), turn))
         held.append(left)
         left = cut(_open(done.placed(left)))
     if left.take(1):
-        prefixes, linked = _prefixes(done.placed(left), texts, threshold), 1.0
+        prefixes, linked = _prefixes(done.placed(left), candidates, threshold), 1.0
         while linked >= worth:
             turn += 1
             linked = done.compare(_candidates(_drawn_by_token(done.placed(prefixes), turn), threshold))
         done.compare(_candidates(done.placed(prefixes), threshold))
         held.append(prefixes)
     # copies follow their text's representative
-    reps = done.placed(texts.select("text_key", "node")).select("text_key", F.col("comp").alias("class_id"))
-    placed = known.join(reps, "text_key").select("node", "class_id")
-    rest = rows.filter(F.col("node").isNull() | F.col("text_key").isNull())
+    classes = done.placed(reps).select("text_key", F.col("comp").alias("class_id"))
+    placed = ids.filter(fine).join(classes, "text_key").select("node", "class_id")
+    rest = ids.filter(~fine)
     out = cut(placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col))
     release(*held, left)
     done.release()
