@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,11 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once. What reads it sees a Parquet scan of its true size, however long its own plan was."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
-    # numbered names: those of df may be equal but for their case, or twice the same
-    plain = [f"c{i}" for i in range(len(df.columns))]
-    schema = T.StructType([T.StructField(n, f.dataType, True, f.metadata) for n, f in zip(plain, df.schema.fields, strict=True)])
-    df.toDF(*plain).write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(schema).parquet(path).toDF(*df.columns)
+    # numbered names: those of df may be equal but for their case; a column of void type isn't written
+    kinds = {f"c{i}": f.dataType for i, f in enumerate(df.schema.fields)}
+    written = [n for n, kind in kinds.items() if not isinstance(kind, T.NullType)]
+    df.toDF(*kinds).select(written).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(T.StructType([T.StructField(n, kinds[n]) for n in written])).parquet(path)
+    columns = [F.col(n) if n in written else F.lit(None) for n in kinds]
+    out = rows.select(*[c.alias(n) for c, n in zip(columns, df.columns, strict=True)])
     out._kinweave_path = path
     return out
 

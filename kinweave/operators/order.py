@@ -58,11 +58,12 @@ def bucket_of(value: Column, bounds: list[str]) -> Column:
 
 
 def assign_buckets(sizes: dict[int, int], bins: int) -> dict[int, int]:
-    """Each bucket in order goes to the bin of least load; ties to the lower bin. One entry per bucket."""
-    loads = [(0, b) for b in range(bins)]
+    """Each bucket in order goes to the bin of least load; ties to the higher bin. One entry per bucket."""
+    loads = [(0, -b) for b in range(bins)]
+    heapq.heapify(loads)
     out = {}
     for bucket in sorted(sizes):
         load, b = heapq.heappop(loads)
-        out[bucket] = b
+        out[bucket] = -b
         heapq.heappush(loads, (load + sizes[bucket], b))
     return out

@@ -1,5 +1,10 @@
 """Every query of the library against its SQL in DuckDB, at the smallest scale."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -45,7 +50,7 @@ def test_bucket_assignment(spark, sf_dir):
     rows = library.bucket_assignment(spark, sf_dir).collect()
     loads = [0, 0, 0]
     for r in sorted(rows):
-        assert r.bin == loads.index(min(loads))
+        assert r.bin == max(b for b in range(3) if loads[b] == min(loads))
         loads[r.bin] += r.n
 
 
@@ -54,3 +59,36 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """The library's queries stay when the training-data operators are removed, though the pipeline's file is there."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "kinweave", tmp_path / "kinweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for file in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / file).exists():
+            shutil.copy(root / file, tmp_path)
+    code = "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "", "PYTHONPATH": str(tmp_path)})
+    assert found.returncode == 0, found.stderr
+    names = found.stdout.split()
+    assert set(names) == set(library.queries())
+
+
+def test_size_estimates_stay_small(spark):
+    """A table that went through many joins and cuts is known by its true size."""
+    from kinweave.checkpoints import cut, release
+
+    df = cut(spark.range(1000).selectExpr("id AS a", "id + 1 AS b"))
+    for _ in range(6):
+        after = cut(df.join(df.selectExpr("a AS b", "b AS c"), "b", "left").selectExpr("a", "coalesce(c, b) AS b"))
+        release(df)
+        df = after
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+
+
+def test_cut_keeps_names_that_clash(spark):
+    from kinweave.checkpoints import cut
+
+    df = cut(spark.sql("SELECT 1 AS a, 2 AS A, 3 AS `x.y`, NULL AS n").selectExpr("*"))
+    assert df.columns == ["a", "A", "x.y", "n"] and tuple(df.first()) == (1, 2, 3, None)
