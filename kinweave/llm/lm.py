@@ -1,215 +1,271 @@
 """Cross-entropy difference: documents scored by two n-gram models, of a target and of the background.
 
-1. One vocabulary for both: the words most frequent in all documents (`max_words` of them at most, seen
-   `min_count` times or more); every other word is the unknown word.
-2. Bigrams of word ids are counted over all documents, and over those of the target; the most frequent
-   `max_bigrams` of the background keep counts of their own in both models, so that they match.
-3. p(w | v) = lambda * c(v, w) / c(v) + b(v) * (c(w) + 1) / (n + words), alike in both models. b(v) is what the
-   history's bigrams with counts of their own leave of 1, so that each history's probabilities sum to 1; it is 1
-   for a history that the model hasn't seen. A document's score is the mean over its words of log2 p_background
-   - log2 p_target. Below 0 it is nearer to the target.
-
-Counts cover every document. The two bounds are the models' size, which is broadcast; what is gathered
-grows with the input and is summed up by key after a pre-aggregation in each task.
-
-Cases: null and empty texts, and texts without a word, have no words, null entropies and a null score.
-Without target documents that model is uniform. Rows repeat as they come; a null id is kept. Only the
-named columns are read. Ids listed twice as target count once.
+Both models are of bigrams, share the vocabulary of all words of all documents and the end of a text, and keep
+every count. A document is scored by what the *other* documents hold: with c, n its own counts left out,
+
+    p(w | v) = lambda * c(v, w) / c(v) + (1 - lambda) * (c(w) + 1) / (n + words),
+
+and by the last fraction alone after a history that no other document has, so each history's probabilities
+sum to 1. The background is all documents. The score is the mean over a text's words and its end of
+log2 p_background - log2 p_target. Below 0 a document is nearer to the target.
+
+1. Texts become blocks of about `block_words` words (one longer text is a block by itself), numbered by words of
+   the block, and each block's distinct words and bigrams become packs of 64-bit keys, dealt by their upper bits
+   to buckets. The number of buckets follows the size of the texts. Blocks are written once and never change.
+2. Each bucket adds up its packs and answers every pack with the corpus's counts, in the pack's own order.
+3. Each block meets its answers and scores its texts.
+
+A task holds one bucket or one block. Nothing is cut by a bound or gathered on the driver but five totals, and
+a frequent bigram is one entry of each block. Different bigrams with equal keys would share their counts: of m distinct
+ones that befalls about m * m / 2**65 pairs.
+
+Cases: null and empty texts, and texts without a word, have no words, null entropies and a null score, and
+count nowhere. Without target documents that model is uniform. Rows repeat as they come, each a document of its own; a
+null id is kept. Only the named columns are read. Ids listed twice as target count once. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
-from dataclasses import dataclass
+from collections import defaultdict
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, map_texts
-from .counts import batches_of, most_frequent
+from .common import cut
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_WORDS, MIN_COUNT, MAX_BIGRAMS, MIN_BIGRAM, LAMBDA = 30_000, 3, 1_000_000, 2, 0.6
-#: Words, or distinct words, that a task gathers before it hands on its counts.
-GATHER = 2_000_000
+LAMBDA = 0.6
+#: Words of a block, and keys of a bucket, about.
+BLOCK_WORDS, BUCKET_KEYS = 1_000_000, 1_000_000
+#: Target ids that may be broadcast (some 30 MB); more are joined by a shuffle, to the same result.
+BROADCAST_IDS = 1_000_000
+#: The first two words of every block.
+END, START = 0, 1
+_DOC, _WORDS, _PACK = 0, 1, 2
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def count_words(df: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all rows."""
-
-    def run(batches):
-        counts: Counter = Counter()
-
-        def flush():
-            yield from batches_of([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-                if len(counts) > 400_000:
-                    yield from flush()
-        yield from flush()
-
-    return df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Models:
-    """Ids: 0 unknown, 1 start, then words. Columns of counts: background, target."""
-
-    words: dict[str, int]
-    keys: np.ndarray  # sorted: history * size + word
-    bigrams: np.ndarray  # of the keys
-    unigrams: np.ndarray  # by word
-    histories: np.ndarray  # by history
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 2
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w, 0) for w in words], dtype=np.int64)
-
-
-def keys_of(ids: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([[1], ids[:-1]]) * size + ids if len(ids) else ids
-
-
-def count_bigrams(df: DataFrame, text_col: str, target: str, words: dict[str, int]) -> DataFrame:
-    """(key, n, n_target) over all rows; target is a boolean column."""
-    sent = df.sparkSession.sparkContext.broadcast(words)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Byte by byte of all numbers: the upper bytes are alike and compress."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T.copy().view(kind).reshape(-1)
+
+
+def _hashes(words) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w.encode(), digest_size=8).digest() for w in words), np.uint64)
+
+
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Keys of pairs of hashes, mixed so that their upper bits are even."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + right
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys, and the place of each key among them."""
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], place
+
+
+def _bigrams(words: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of a block's distinct bigrams, and the place of each word's bigram among them."""
+    history = np.empty(len(words), np.int64)
+    history[1:] = words[:-1]
+    history[starts] = START
+    pairs, inverse = np.unique(history * len(hashes) + words, return_inverse=True)
+    keys, place = _places(_pair_keys(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]))
+    return keys, place[inverse]
+
+
+def _packs(keys: np.ndarray, places: np.ndarray, target: np.ndarray, bits: int):
+    """(bucket, keys, n, n_target) by bucket, from the sorted keys and each word's place and whether it is the target's."""
+    n = np.bincount(places, minlength=len(keys)).astype(np.uint32)
+    t = np.bincount(places[target], minlength=len(keys)).astype(np.uint32)
+    buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield int(buckets[a]), _packed(keys[a:b]), _packed(n[a:b]), _packed(t[a:b])
+
+
+def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
+    """Rows (id, text, target) as blocks: rows of texts, of the block's words, and of packs. Packs of words have buckets below 0."""
+    kinds = [("block", T.LongType()), ("kind", T.IntegerType()), ("id", rows.schema[0].dataType), ("target", T.BooleanType()),
+             ("n", T.LongType()), ("bucket", T.LongType()), ("data", T.BinaryType()), ("n_all", T.BinaryType()), ("n_target", T.BinaryType())]
+    schema = T.StructType([T.StructField(*k) for k in kinds])
+    arrow = to_arrow_schema(schema)
+
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        made = {k: v if isinstance(v, pa.Array) else pa.array(v, arrow.field(k).type) for k, v in columns.items()}
+        return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def block(number: int, ids: list, flags: list, texts: list, words: list):
+        sizes = np.array([len(x) for x in texts])
+        flat = np.concatenate(texts).astype(np.int64)
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        hashes = _hashes(words)
+        target = np.repeat(np.array(flags, bool), sizes)
+        yield batch(
+            len(texts), block=[number] * len(texts), kind=[_DOC] * len(texts), id=pa.concat_arrays(ids), target=flags,
+            n=np.maximum(sizes - 1, 0), data=[_packed(x) for x in texts],
+        )
+        yield batch(1, block=[number], kind=[_WORDS], data=[_packed(hashes)])
+        packs = list(_packs(*_bigrams(flat, starts, hashes), target, bits))
+        keys, place = _places(hashes)
+        packs += [(-1 - bucket, *x) for bucket, *x in _packs(keys, place[flat], target, bits)]
+        if packs:
+            bucket, data, n, t = zip(*packs, strict=True)
+            yield batch(len(packs), block=[number] * len(packs), kind=[_PACK] * len(packs), bucket=bucket, data=data, n_all=n, n_target=t)
 
     def run(batches):
-        get, size = sent.value.get, len(sent.value) + 2
-        held: dict[bool, list] = {False: [], True: []}
-        gathered = 0
-
-        def flush():
-            parts = {t: np.unique(np.concatenate([np.zeros(0, np.int64), *held[t]]), return_counts=True) for t in held}
-            keys = np.union1d(parts[False][0], parts[True][0])
-            n = np.zeros((2, len(keys)), dtype=np.int64)
-            for t, (own, counts) in parts.items():
-                at = np.searchsorted(keys, own)
-                n[0, at] += counts
-                if t:
-                    n[1, at] += counts
-            yield from batches_of([pa.array(keys), pa.array(n[0]), pa.array(n[1])], ["key", "n", "n_target"])
-            for x in held.values():
-                x.clear()
-
-        for batch in batches:
-            for text, is_target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
-                held[bool(is_target)].append(keys_of(ids, size))
-                gathered += len(ids)
-                if gathered > GATHER:
-                    yield from flush()
-                    gathered = 0
-        yield from flush()
-
-    counts = df.select(text_col, target).mapInArrow(run, "key long, n long, n_target long")
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def train(
-    df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_words: int = MAX_WORDS,
-    min_count: int = MIN_COUNT, max_bigrams: int = MAX_BIGRAMS, min_bigram: int = MIN_BIGRAM,
-) -> Models:
-    """target_ids: a column of ids of the target's documents."""
-    counted = cut(count_words(df, text_col).filter(F.col("n") >= min_count))
-    words = sorted(r[0] for r in most_frequent(counted, "n", max_words, min_count).select("word").collect())
-    index = {w: i + 2 for i, w in enumerate(words)}
+        number = TaskContext.get().partitionId() << 32
+
+        def empty():
+            index = defaultdict(None, {"</s>": END, "<s>": START})  # neither is a word
+            index.default_factory = index.__len__
+            return index, [], [], [], 0
+
+        index, ids, flags, texts, gathered = empty()
+        for rows in batches:
+            at = 0
+            for i, (text, flag) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)):
+                found = words_of(text)
+                texts.append(np.array([*map(index.__getitem__, found), END] if found else [], np.int32))
+                flags.append(flag)
+                gathered += len(found) + 1
+                if gathered >= block_words:
+                    ids.append(rows.column(0).slice(at, i + 1 - at))
+                    at = i + 1
+                    yield from block(number, ids, flags, texts, list(index))
+                    number += 1
+                    index, ids, flags, texts, gathered = empty()
+            ids.append(rows.column(0).slice(at))
+        if texts:
+            yield from block(number, ids, flags, texts, list(index))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _answer(packs: pa.Table) -> pa.Table:
+    """The corpus's counts for every pack of one bucket, and on one row how many different keys it has."""
+    keys = [_unpacked(x, np.uint64) for x in packs["data"].to_pylist()]
+    sizes = np.cumsum([len(x) for x in keys])[:-1]
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for name in ("n_all", "n_target"):
+        counts = np.concatenate([_unpacked(x, np.uint32) for x in packs[name].to_pylist()])
+        sums.append(np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64))
+    split = [[_packed(x) for x in np.split(s[inverse], sizes)] for s in sums]
+    different = np.zeros(len(keys), np.int64)
+    different[0] = np.count_nonzero(sums[0])
+    return pa.table({"block": packs["block"], "bucket": packs["bucket"], "n_all": pa.array(split[0], pa.binary()), "n_target": pa.array(split[1], pa.binary()), "different": different})
+
+
+def _own(documents: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """How often each word's entry stands in its own document."""
+    _, inverse, counts = np.unique(documents * size + places, return_inverse=True, return_counts=True)
+    return counts[inverse]
+
+
+def losses(
+    texts: list[np.ndarray], target: np.ndarray, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray,
+    totals: np.ndarray, documents: np.ndarray, vocabulary: int, weight: float,
+) -> np.ndarray:
+    """-log2 p, word by word of a block's texts, by (background, target).
+
+    words, pairs: the corpus's counts by model and sorted key; totals, documents: its words with ends, and its texts.
+    """
+    sizes = np.array([len(x) for x in texts])
+    flat = np.concatenate(texts).astype(np.int64)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    keys, pair = _bigrams(flat, starts, hashes)
+    place = _places(hashes)[1][flat]
+    of = np.repeat(np.arange(len(texts)), sizes)
+    own_pair, own_word = _own(of, pair, len(keys)), _own(of, place, len(hashes))
+    own_history = np.roll(own_word, 1)
+    own_history[starts] = 1
+    out = []
+    for m, left_out in enumerate((np.ones(len(flat), np.int64), np.repeat(target, sizes).astype(np.int64))):
+        word = words[m][place]
+        history = np.roll(word, 1)
+        history[starts] = documents[m]
+        history = history - left_out * own_history
+        follows = (pairs[m][pair] - left_out * own_pair) / np.maximum(1, history)
+        single = (word - left_out * own_word + 1) / (totals[m] - left_out * np.repeat(sizes, sizes) + vocabulary)
+        share = np.where(history > 0, weight, 0.0)
+        out.append(-np.log2(share * follows + (1 - share) * single))
+    return np.array(out)
+
+
+def score(
+    df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA,
+    block_words: int = BLOCK_WORDS, bucket_keys: int = BUCKET_KEYS,
+) -> DataFrame:
+    """(id, n_words, h_target, h_background, score): cross-entropies in bits a word, and their difference.
+
+    target_ids: a column of ids of the target's documents.
+    """
     flags = target_ids.toDF("__id").filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
-    flags = flags.hint("merge")  # the target has no size bound: the same plan at every size
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(flags, "__id", "left")
-    bigrams = cut(count_bigrams(rows.select("__text", F.coalesce("__target", F.lit(False)).alias("__target")), "__text", "__target", index))
-    size = len(words) + 2
-    unigrams, histories = np.zeros((2, size, 2), dtype=np.int64)
-    by_end = (F.col("key") % size, F.floor(F.col("key") / size).cast("long"))
-    for out, end in zip((unigrams, histories), by_end, strict=True):
-        sums = bigrams.groupBy(end.alias("w")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toArrow()  # at most max_words + 2 rows
-        out[sums["w"].to_numpy()] = np.stack([sums["n"].to_numpy(), sums["t"].to_numpy()], axis=1)
-    kept = most_frequent(bigrams, "n", max_bigrams, min_bigram).toArrow()
-    order = np.argsort(kept["key"].to_numpy(), kind="stable")
-    counts = np.stack([kept["n"].to_numpy(), kept["n_target"].to_numpy()], axis=1)
-    return Models(index, kept["key"].to_numpy()[order], counts[order], unigrams, histories)
-
-
-@dataclass
-class Scorer:
-    """The models as probabilities. Columns: background, target."""
-
-    models: Models
-    weight: float = LAMBDA
-
-    def __post_init__(self):
-        m = self.models
-        self.single = (m.unigrams + 1) / (m.unigrams.sum(axis=0) + m.size)
-        seen = np.maximum(1, m.histories)
-        history = m.keys // m.size
-        self.follows = self.weight * m.bigrams / seen[history]
-        self.keys = np.append(m.keys, np.iinfo(np.int64).max)  # a place for what is above all keys
-        self.follows = np.concatenate([self.follows, np.zeros((1, 2))])
-        own = np.stack([np.bincount(history, weights=m.bigrams[:, i], minlength=m.size) for i in (0, 1)], axis=1)
-        self.backoff = 1 - self.weight * own / seen
-
-    def log_probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log2 p by word and model, of texts one after another that begin at `starts`."""
-        history = np.empty_like(ids)
-        history[1:] = ids[:-1]
-        history[starts] = 1
-        keys = history * self.models.size + ids
-        at = np.searchsorted(self.keys, keys)
-        found = np.flatnonzero(self.keys[at] == keys)
-        p = self.backoff[history] * self.single[ids]
-        p[found] += self.follows[at[found]]
-        return np.log2(p)
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words, and mean losses by text and model (of texts without words: of no meaning)."""
-        get, flat, ends = self.models.words.get, [], [0]
-        for text in texts:
-            flat += [get(w, 0) for w in words_of(text)]
-            ends.append(len(flat))
-        ends = np.array(ends)
-        sizes = np.diff(ends)
-        losses = np.zeros((len(texts), 2))
-        if flat:
-            some = np.flatnonzero(sizes)
-            starts = ends[:-1][some]
-            sums = np.add.reduceat(self.log_probabilities(np.array(flat, dtype=np.int64), starts), starts, axis=0)
-            losses[some] = -sums / sizes[some, None]
-        return sizes, losses
-
-
-def score(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", weight: float = LAMBDA) -> DataFrame:
-    """(id, n_words, h_target, h_background, score): cross-entropies in bits a word, and their difference."""
-    sent = df.sparkSession.sparkContext.broadcast(models)
-
-    def start():
-        scorer = Scorer(sent.value, weight)
-
-        def work(ids, texts):
-            sizes, losses = scorer.score(texts)
-            none = sizes == 0
-            column = lambda x: pa.array(x, mask=none)
-            background, target = losses[:, 0], losses[:, 1]
-            return {
-                id_col: ids, "n_words": pa.array(sizes), "h_target": column(target), "h_background": column(background),
-                "score": column(target - background),
-            }
-
-        return work
-
-    fields = [T.StructField("n_words", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("h_target", "h_background", "score")]]
-    return map_texts(df, id_col, text_col, start, fields, batch_chars=1_000_000)
+    flags = cut(flags)
+    flags = F.broadcast(flags) if flags.count() <= BROADCAST_IDS else flags.hint("merge")
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, size / 6 / bucket_keys))))
+    rows = texts.join(flags, "__id", "left").select("__id", "__text", F.coalesce("__target", F.lit(False)).alias("__target"))
+    blocks = cut(_blocks(rows, bits, block_words))
+    held = blocks.filter((F.col("kind") == _DOC) & (F.col("n") > 0))
+    documents, totals = np.zeros(2, np.int64), np.zeros(2, np.int64)
+    for flag, count, words in held.groupBy("target").agg(F.count(F.lit(1)), F.sum(F.col("n") + 1)).collect():
+        own = np.array([1, int(flag)])
+        documents += own * count
+        totals += own * words
+    packs = blocks.filter(F.col("kind") == _PACK).select("block", "bucket", "data", "n_all", "n_target")
+    answers = cut(packs.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, n_all binary, n_target binary, different long"))
+    vocabulary = answers.filter("bucket < 0").agg(F.sum("different")).first()[0] or 0
+
+    kinds = [("n_words", T.LongType()), ("h_target", T.DoubleType()), ("h_background", T.DoubleType()), ("score", T.DoubleType())]
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(*k) for k in kinds]])
+    arrow = to_arrow_schema(schema)
+
+    def work(block: pa.Table, counts: pa.Table) -> pa.Table:
+        rows = block.filter(pa.compute.equal(block["kind"], _DOC))
+        hashes = _unpacked(block.filter(pa.compute.equal(block["kind"], _WORDS))["data"][0].as_py(), np.uint64)
+        sizes = rows["n"].to_numpy()
+        none = sizes == 0
+        means = np.zeros((2, len(sizes)))
+        if not none.all():
+            by_bucket = sorted(zip(*(counts[c].to_pylist() for c in ("bucket", "n_all", "n_target")), strict=True))
+            models = []
+            for own in ([x for x in by_bucket if x[0] < 0][::-1], [x for x in by_bucket if x[0] >= 0]):
+                models.append([np.concatenate([_unpacked(x[m], np.int64) for x in own]) for m in (1, 2)])
+            of_texts = [_unpacked(x, np.int32) for x in rows["data"].to_pylist()]
+            lost = losses(of_texts, rows["target"].to_numpy(), hashes, *models, totals, documents, vocabulary, weight)
+            lengths = sizes[~none] + 1
+            means[:, ~none] = np.add.reduceat(lost, np.cumsum(lengths) - lengths, axis=1) / lengths
+        columns = [rows["id"], pa.array(sizes), *(pa.array(x, mask=none) for x in (means[1], means[0], means[1] - means[0]))]
+        return pa.Table.from_arrays(columns, schema=arrow)
+
+    left = blocks.filter(F.col("kind") != _PACK).select("block", "kind", "id", "target", "n", "data")
+    right = answers.select("block", "bucket", "n_all", "n_target")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)

@@ -46,8 +46,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are the documents labelled as of good quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    models = lm.train(docs, labels.filter("quality = 1").select("doc_id"))
-    return lm.score(docs, models)
+    return lm.score(docs, labels.filter("quality = 1").select("doc_id"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

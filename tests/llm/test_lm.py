@@ -10,82 +10,95 @@ from kinweave.llm import lm
 from .helpers import documents, no_documents, odd_documents, words
 
 
-def brute(texts, target, min_count, max_words, weight=lm.LAMBDA):
-    """The two models and every score in plain dictionaries; all bigrams seen twice keep counts."""
+def brute(texts, target, weight=lm.LAMBDA):
+    """Every score in plain dictionaries, by models of all documents but the scored one. texts: by id."""
     tokens = {i: re.findall(r"[^\W\d_]+", (t or "").lower()) for i, t in texts.items()}
-    counts = Counter(w for x in tokens.values() for w in x)
-    cutoff = sorted((n for n in counts.values() if n >= min_count), reverse=True)
-    least = min_count if len(cutoff) <= max_words else min(n for n in cutoff if sum(m >= n for m in cutoff) <= max_words)
-    vocabulary = {w for w, n in counts.items() if n >= least}
-    known = {i: ["<s>", *[w if w in vocabulary else "<u>" for w in x]] for i, x in tokens.items()}
-    uni, bi, hist = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
-    for i, x in known.items():
-        for m in [0, 1] if i in target else [0]:
-            uni[m].update(x[1:])
-            bi[m].update(zip(x, x[1:], strict=False))
-            hist[m].update(x[:-1])
-    kept = {b for b, n in bi[0].items() if n >= lm.MIN_BIGRAM}
-    own = [Counter(), Counter()]
-    for m in (0, 1):
-        for v, w in kept:
-            own[m][v] += bi[m][v, w]
+    known = {i: ["<s>", *x, "</s>"] for i, x in tokens.items() if x}
+    vocabulary = {w for x in known.values() for w in x[1:]}
     out = {}
-    for i, x in known.items():
+    for i in texts:
+        if i not in known:
+            out[i] = (0, None, None, None)
+            continue
         h = []
-        for m in (1, 0):
+        for of in (known.keys() & target, known.keys()):
+            others = [known[j] for j in of if j != i]
+            uni = Counter(w for x in others for w in x[1:])
+            bi = Counter(p for x in others for p in zip(x, x[1:], strict=False))
+            hist = Counter(w for x in others for w in x[:-1])
             logs = []
-            for v, w in zip(x, x[1:], strict=False):
-                pair = bi[m][v, w] if (v, w) in kept else 0
-                single = (uni[m][w] + 1) / (sum(uni[m].values()) + len(vocabulary) + 2)
-                rest = 1 - weight * own[m][v] / max(1, hist[m][v])
-                logs.append(math.log2(weight * pair / max(1, hist[m][v]) + rest * single))
-            h.append(-sum(logs) / len(logs) if logs else None)
-        out[i] = (len(x) - 1, *h, h[0] - h[1] if h[0] is not None else None)
+            for v, w in zip(known[i], known[i][1:], strict=False):
+                single = (uni[w] + 1) / (sum(uni.values()) + len(vocabulary))
+                logs.append(math.log2(weight * bi[v, w] / hist[v] + (1 - weight) * single if hist[v] else single))
+            h.append(-sum(logs) / len(logs))
+        out[i] = (len(tokens[i]), *h, h[0] - h[1])
     return out
 
 
-@pytest.mark.parametrize("max_words", [30_000, 40])
-def test_against_brute_force(spark, max_words):
+@pytest.mark.parametrize("sizes", [{}, {"block_words": 100, "bucket_keys": 50}, {"block_words": 1}])
+def test_against_brute_force(spark, sizes):
     texts = {i: " ".join(words(i % 7, 40 + i, 60)) for i in range(50)} | {50: None, 51: "", 52: "1 2"}
-    target = {0, 7, 14, 50}
+    texts |= {53: texts[3], 54: "one of a kind", 55: "kind kind kind"}
+    target = {0, 7, 14, 50, 55}
     df = documents(spark, list(texts.values())).repartition(4)
     ids = spark.createDataFrame([(i,) for i in [*target, 0, None, 999]], "any long")
-    found = lm.score(df, lm.train(df, ids, max_words=max_words))
-    expected = brute(texts, target, lm.MIN_COUNT, max_words)
-    for r in found.collect():
+    expected = brute(texts, target)
+    found = lm.score(df, ids, **sizes).collect()
+    assert len(found) == len(texts)
+    for r in found:
         n, *rest = expected[r.doc_id]
         assert r.n_words == n
         assert [r.h_target, r.h_background, r.score] == (pytest.approx(rest, rel=1e-9) if n else [None] * 3)
 
 
-@pytest.mark.parametrize("max_bigrams", [1_000_000, 100])
-def test_probabilities_of_a_history_sum_to_one(spark, max_bigrams):
-    df = documents(spark, [" ".join(words(i % 7, 60, 60)) for i in range(40)])
-    models = lm.train(df, spark.createDataFrame([(i,) for i in range(0, 40, 9)], "i long"), max_bigrams=max_bigrams)
-    scorer = lm.Scorer(models)
-    assert (models.histories[:, 1] == 0).any()  # one that the target never had, too
-    for v in range(models.size):
-        ids = np.array([x for w in range(models.size) for x in (v, w)], dtype=np.int64)
-        found = scorer.log_probabilities(ids, np.arange(0, len(ids), 2))[1::2]
-        assert np.allclose(np.exp2(found).sum(axis=0), 1)
+def test_a_shuffled_join_of_the_target_gives_the_same(spark, monkeypatch):
+    df = documents(spark, [" ".join(words(i % 7, 40, 60)) for i in range(20)])
+    ids = spark.createDataFrame([(i,) for i in range(0, 20, 3)], "doc_id long")
+    sent = sorted(map(tuple, lm.score(df, ids).collect()))
+    monkeypatch.setattr(lm, "BROADCAST_IDS", 0)
+    assert np.allclose(sorted(map(tuple, lm.score(df, ids).collect())), sent)
+
+
+def test_probabilities_of_a_history_sum_to_one():
+    """p(w | v) over all w: each from a text of v and w, joined to a corpus of others that never has the last word."""
+    rng = np.random.default_rng(5)
+    size = 9
+    hashes = lm._hashes([f"w{i}" for i in range(size)])
+    order = np.argsort(hashes, kind="stable")
+    corpus = [[*rng.integers(2, size - 1, 6), lm.END] for _ in range(8)]
+    for v in range(2, size):
+        sums = np.zeros(2)
+        for w in (w for w in range(size) if w != lm.START):
+            text = [v, w, lm.END] if w != lm.END else [v, lm.END]
+            held = [*corpus, text]
+            pairs = Counter(p for x in held for p in zip([lm.START, *x], x, strict=False))
+            single = np.bincount(np.concatenate(held), minlength=size)
+            own = np.array(text, np.int64)
+            keys, place = lm._bigrams(own, np.array([0]), hashes)
+            counts = np.zeros(len(keys), np.int64)
+            counts[place] = [pairs[p] for p in zip([lm.START, *text], text, strict=False)]
+            lost = lm.losses(
+                [np.array(text, np.int32)], np.array([True]), hashes, [single[order]] * 2, [counts] * 2, np.array([single.sum()] * 2),
+                np.array([len(held)] * 2), size - 1, 0.6,
+            )
+            sums += np.exp2(-lost[:, 1])
+        assert np.allclose(sums, 1), v
 
 
 def test_odd_rows(spark):
     df, rows = odd_documents(spark)
-    found = lm.score(df, lm.train(df, spark.createDataFrame([(5,)], "doc_id long"))).collect()
+    found = lm.score(df, spark.createDataFrame([(5,)], "doc_id long")).collect()
     assert len(found) == len(rows) and all((r.score is None) == (r.n_words == 0) for r in found)
 
 
 def test_nothing(spark):
-    none = no_documents(spark)
     ids = spark.createDataFrame([], "doc_id long")
-    models = lm.train(none, ids)
-    assert lm.score(none, models).count() == 0
-    assert lm.score(documents(spark, ["some words"]), models).first().score == pytest.approx(0.0)
+    assert lm.score(no_documents(spark), ids).count() == 0
+    assert lm.score(documents(spark, ["some words"]), ids).first().score == pytest.approx(0.0)
+    assert lm.score(documents(spark, [None, "1"]), ids).count() == 2
 
 
-def test_prefers_the_target(spark):
+def test_prefers_the_target_and_knows_copies(spark):
     texts = [" ".join(words(1, 200, 50)) for _ in range(10)] + [" ".join(words(2, 200, 50)) for _ in range(10)]
-    df = documents(spark, texts)
-    found = {r.doc_id: r.score for r in lm.score(df, lm.train(df, spark.createDataFrame([(i,) for i in range(5)], "i long"))).collect()}
-    assert max(found[i] for i in range(10)) < 0 < min(found[i] for i in range(10, 20))
+    found = {r.doc_id: r for r in lm.score(documents(spark, texts), spark.createDataFrame([(i,) for i in range(5)], "i long")).collect()}
+    assert max(found[i].score for i in range(10)) < 0.01 < min(found[i].score for i in range(10, 20))
