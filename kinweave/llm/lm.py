@@ -10,14 +10,14 @@ sum to 1. The background is all documents. The score is the mean over a text's w
 log2 p_background - log2 p_target. Below 0 a document is nearer to the target.
 
 1. Texts become blocks of about `block_words` words (one longer text is a block by itself), numbered by words of
-   the block, and each block's distinct words and bigrams become packs of 64-bit keys, dealt by their upper bits
+   the block, and each block's distinct words and bigrams become packs of 56-bit keys, dealt by their upper bits
    to buckets. The number of buckets follows the size of the texts. Blocks are written once and never change.
 2. Each bucket adds up its packs and answers every pack with the corpus's counts, in the pack's own order.
 3. Each block meets its answers and scores its texts.
 
 A task holds one bucket or one block. Nothing is cut by a bound or gathered on the driver but five totals, and
 a frequent bigram is one entry of each block. Different bigrams with equal keys would share their counts: of m distinct
-ones that befalls about m * m / 2**65 pairs.
+ones that befalls about m * m / 2**57 pairs.
 
 Cases: null and empty texts, and texts without a word, have no words, null entropies and a null score, and
 count nowhere. Without target documents that model is uniform. Rows repeat as they come, each a document of its own; a
@@ -46,7 +46,9 @@ from .common import cut
 WORD = re.compile(r"[^\W\d_]+")
 LAMBDA = 0.6
 #: Words of a block, and keys of a bucket, about.
-BLOCK_WORDS, BUCKET_KEYS = 1_000_000, 1_000_000
+BLOCK_WORDS, BUCKET_KEYS = 500_000, 1_000_000
+#: Texts of a batch that are Python strings at once.
+SLICE = 500
 #: Target ids that may be broadcast (some 30 MB); more are joined by a shuffle, to the same result.
 BROADCAST_IDS = 1_000_000
 #: The first two words of every block.
@@ -58,14 +60,19 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    """Byte by byte of all numbers: the upper bytes are alike and compress."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    """Compressed byte by byte of all numbers, as the upper bytes are alike; after the length."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T.copy().view(kind).reshape(-1)
+    width, size = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], size, asbytes=True), np.uint8)
+    return planes.reshape(width, size // width).T.copy().view(kind).reshape(-1)
 
 
 def _hashes(words) -> np.ndarray:
@@ -83,8 +90,8 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted keys, and the place of each key among them."""
     order = np.argsort(keys, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return keys[order], place
 
 
@@ -106,7 +113,7 @@ def _packs(keys: np.ndarray, places: np.ndarray, target: np.ndarray, bits: int):
     edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
     for a, b in zip(edges, edges[1:], strict=False):
         if a < b:
-            yield int(buckets[a]), _packed(keys[a:b]), _packed(n[a:b]), _packed(t[a:b])
+            yield int(buckets[a]), _packed(keys[a:b] >> np.uint64(8)), _packed(n[a:b]), _packed(t[a:b])
 
 
 def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
@@ -147,7 +154,7 @@ def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
             return index, [], [], [], 0
 
         index, ids, flags, texts, gathered = empty()
-        for rows in batches:
+        for rows in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             at = 0
             for i, (text, flag) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)):
                 found = words_of(text)
@@ -185,7 +192,7 @@ def _answer(packs: pa.Table) -> pa.Table:
 def _own(documents: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """How often each word's entry stands in its own document."""
     _, inverse, counts = np.unique(documents * size + places, return_inverse=True, return_counts=True)
-    return counts[inverse]
+    return counts.astype(np.int32)[inverse]
 
 
 def losses(
