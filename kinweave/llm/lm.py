@@ -113,7 +113,7 @@ def _packs(keys: np.ndarray, places: np.ndarray, target: np.ndarray, bits: int):
     edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
     for a, b in zip(edges, edges[1:], strict=False):
         if a < b:
-            yield int(buckets[a]), _packed(keys[a:b] >> np.uint64(8)), _packed(n[a:b]), _packed(t[a:b])
+            yield int(buckets[a]), _packed(np.diff(keys[a:b] >> np.uint64(8), prepend=np.uint64(0))), _packed(n[a:b]), _packed(t[a:b])
 
 
 def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
@@ -174,19 +174,27 @@ def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _keys(packs: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in packs["data"].to_pylist()]
+
+
+def _different(packs: pa.Table) -> pa.Table:
+    """How many words one bucket has; the start is none, so its count is 0."""
+    counts = np.concatenate([_unpacked(x, np.uint32) for x in packs["n_all"].to_pylist()])
+    return pa.table({"different": [len(np.unique(np.concatenate(_keys(packs))[counts > 0]))]})
+
+
 def _answer(packs: pa.Table) -> pa.Table:
-    """The corpus's counts for every pack of one bucket, and on one row how many different keys it has."""
-    keys = [_unpacked(x, np.uint64) for x in packs["data"].to_pylist()]
+    """The corpus's counts for every pack of one bucket."""
+    keys = _keys(packs)
     sizes = np.cumsum([len(x) for x in keys])[:-1]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = []
+    answers = {"block": packs["block"], "bucket": packs["bucket"]}
     for name in ("n_all", "n_target"):
         counts = np.concatenate([_unpacked(x, np.uint32) for x in packs[name].to_pylist()])
-        sums.append(np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64))
-    split = [[_packed(x) for x in np.split(s[inverse], sizes)] for s in sums]
-    different = np.zeros(len(keys), np.int64)
-    different[0] = np.count_nonzero(sums[0])
-    return pa.table({"block": packs["block"], "bucket": packs["bucket"], "n_all": pa.array(split[0], pa.binary()), "n_target": pa.array(split[1], pa.binary()), "different": different})
+        sums = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)[inverse]
+        answers[name] = pa.array([_packed(x) for x in np.split(sums, sizes)], pa.binary())
+    return pa.table(answers)
 
 
 def _own(documents: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
@@ -248,8 +256,9 @@ def score(
         documents += own * count
         totals += own * words
     packs = blocks.filter(F.col("kind") == _PACK).select("block", "bucket", "data", "n_all", "n_target")
-    answers = cut(packs.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, n_all binary, n_target binary, different long"))
-    vocabulary = answers.filter("bucket < 0").agg(F.sum("different")).first()[0] or 0
+    words = packs.filter("bucket < 0").groupBy("bucket").applyInArrow(_different, "different long")
+    vocabulary = words.agg(F.sum("different")).first()[0] or 0
+    answers = packs.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, n_all binary, n_target binary")
 
     kinds = [("n_words", T.LongType()), ("h_target", T.DoubleType()), ("h_background", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(*k) for k in kinds]])
@@ -274,5 +283,4 @@ def score(
         return pa.Table.from_arrays(columns, schema=arrow)
 
     left = blocks.filter(F.col("kind") != _PACK).select("block", "kind", "id", "target", "n", "data")
-    right = answers.select("block", "bucket", "n_all", "n_target")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)
+    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
