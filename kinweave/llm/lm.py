@@ -10,8 +10,8 @@ sum to 1. The background is all documents. The score is the mean over a text's w
 log2 p_background - log2 p_target. Below 0 a document is nearer to the target.
 
 1. Texts become blocks of about `block_words` words (one longer text is a block by itself), numbered by words of
-   the block, and each block's distinct words and bigrams become packs of 56-bit keys, dealt by their upper bits
-   to buckets. The number of buckets follows the size of the texts. Blocks are written once and never change.
+   the block. Blocks are written once and never change. Each block's distinct words and bigrams become packs of 56-bit
+   keys, dealt by their upper bits to buckets. The number of buckets follows the size of the texts.
 2. Each bucket adds up its packs and answers every pack with the corpus's counts, in the pack's own order.
 3. Each block meets its answers and scores its texts.
 
@@ -53,7 +53,6 @@ SLICE = 500
 BROADCAST_IDS = 1_000_000
 #: The first two words of every block.
 END, START = 0, 1
-_DOC, _WORDS, _PACK = 0, 1, 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -105,21 +104,10 @@ def _bigrams(words: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple
     return keys, place[inverse]
 
 
-def _packs(keys: np.ndarray, places: np.ndarray, target: np.ndarray, bits: int):
-    """(bucket, keys, n, n_target) by bucket, from the sorted keys and each word's place and whether it is the target's."""
-    n = np.bincount(places, minlength=len(keys)).astype(np.uint32)
-    t = np.bincount(places[target], minlength=len(keys)).astype(np.uint32)
-    buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a < b:
-            yield int(buckets[a]), _packed(np.diff(keys[a:b] >> np.uint64(8), prepend=np.uint64(0))), _packed(n[a:b]), _packed(t[a:b])
-
-
-def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
-    """Rows (id, text, target) as blocks: rows of texts, of the block's words, and of packs. Packs of words have buckets below 0."""
-    kinds = [("block", T.LongType()), ("kind", T.IntegerType()), ("id", rows.schema[0].dataType), ("target", T.BooleanType()),
-             ("n", T.LongType()), ("bucket", T.LongType()), ("data", T.BinaryType()), ("n_all", T.BinaryType()), ("n_target", T.BinaryType())]
+def _blocks(rows: DataFrame, block_words: int) -> DataFrame:
+    """Rows (id, text, target) as blocks: a row (id, target, n) for each text, and one of all words, of each text's and of the hashes."""
+    kinds = [("block", T.LongType()), ("id", rows.schema[0].dataType), ("target", T.BooleanType()), ("n", T.LongType()), ("place", T.IntegerType()),
+             ("words", T.BinaryType()), ("sizes", T.BinaryType()), ("targets", T.BinaryType()), ("hashes", T.BinaryType())]
     schema = T.StructType([T.StructField(*k) for k in kinds])
     arrow = to_arrow_schema(schema)
 
@@ -129,21 +117,13 @@ def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
 
     def block(number: int, ids: list, flags: list, texts: list, words: list):
         sizes = np.array([len(x) for x in texts])
-        flat = np.concatenate(texts).astype(np.int64)
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        hashes = _hashes(words)
-        target = np.repeat(np.array(flags, bool), sizes)
-        yield batch(
-            len(texts), block=[number] * len(texts), kind=[_DOC] * len(texts), id=pa.concat_arrays(ids), target=flags,
-            n=np.maximum(sizes - 1, 0), data=[_packed(x) for x in texts],
-        )
-        yield batch(1, block=[number], kind=[_WORDS], data=[_packed(hashes)])
-        packs = list(_packs(*_bigrams(flat, starts, hashes), target, bits))
-        keys, place = _places(hashes)
-        packs += [(-1 - bucket, *x) for bucket, *x in _packs(keys, place[flat], target, bits)]
-        if packs:
-            bucket, data, n, t = zip(*packs, strict=True)
-            yield batch(len(packs), block=[number] * len(packs), kind=[_PACK] * len(packs), bucket=bucket, data=data, n_all=n, n_target=t)
+        yield batch(len(texts), block=[number] * len(texts), id=pa.concat_arrays(ids), target=flags, n=np.maximum(sizes - 1, 0), place=np.arange(len(texts), dtype=np.int32))
+        if sizes.any():
+            held, flat = sizes > 0, np.concatenate(texts)
+            yield batch(
+                1, block=[number], words=[_packed(flat)], sizes=[_packed(sizes[held])], targets=[_packed(np.array(flags, np.int8)[held])],
+                hashes=[_packed(_hashes(words))],
+            )
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -174,14 +154,60 @@ def _blocks(rows: DataFrame, bits: int, block_words: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _keys(packs: pa.Table) -> list[np.ndarray]:
-    return [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in packs["data"].to_pylist()]
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words, the sizes of its texts that have any, whether those are the target's, and the hashes of its words."""
+    kinds = {"words": np.int32, "sizes": np.int64, "targets": np.int8, "hashes": np.uint64}
+    words, sizes, targets, hashes = (_unpacked(row[c], kind) for c, kind in kinds.items())
+    return words.astype(np.int64), sizes, targets, hashes
+
 
+def _buckets(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of sorted keys."""
+    buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+    return [(int(buckets[a]), a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)))
 
-def _different(packs: pa.Table) -> pa.Table:
-    """How many words one bucket has; the start is none, so its count is 0."""
-    counts = np.concatenate([_unpacked(x, np.uint32) for x in packs["n_all"].to_pylist()])
-    return pa.table({"different": [len(np.unique(np.concatenate(_keys(packs))[counts > 0]))]})
+
+def _packs(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, bucket, data, n_all, n_target) of the rows of words. Packs of words have buckets below 0, those of bigrams others."""
+
+    def run(batches):
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            words, sizes, targets, hashes = _read(row)
+            target = np.repeat(targets, sizes) > 0
+            single, place = _places(hashes)
+            pairs, pair = _bigrams(words, np.cumsum(sizes) - sizes, hashes)
+            for keys, places, of_words in ((single, place[words], True), (pairs, pair, False)):
+                n, t = (np.bincount(x, minlength=len(keys)).astype(np.uint32) for x in (places, places[target]))
+                made = [(-1 - k if of_words else k, _packed_keys(keys[a:b]), _packed(n[a:b]), _packed(t[a:b])) for k, a, b in _buckets(keys, bits)]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(made)), *columns], names=["block", "bucket", "data", "n_all", "n_target"])
+
+    return blocks.mapInArrow(run, "block long, bucket long, data binary, n_all binary, n_target binary")
+
+
+def _vocabulary(blocks: DataFrame, bits: int) -> int:
+    """How many words there are, ends among them."""
+
+    def run(batches):
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            keys = np.sort(np.delete(_unpacked(row["hashes"], np.uint64), START))
+            bucket, data = zip(*((k, _packed_keys(keys[a:b])) for k, a, b in _buckets(keys, bits)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    def different(packs: pa.Table) -> pa.Table:
+        return pa.table({"different": [len(np.unique(np.concatenate(_keys(packs))))]})
+
+    packs = blocks.select("hashes").mapInArrow(run, "bucket long, data binary")
+    return packs.groupBy("bucket").applyInArrow(different, "different long").agg(F.sum("different")).first()[0] or 0
+
+
+def _keys(packs: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in packs["data"].to_pylist()]
 
 
 def _answer(packs: pa.Table) -> pa.Table:
@@ -197,6 +223,10 @@ def _answer(packs: pa.Table) -> pa.Table:
     return pa.table(answers)
 
 
+def _ranks(places: np.ndarray) -> np.ndarray:
+    return np.argsort(np.argsort(places))
+
+
 def _own(documents: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """How often each word's entry stands in its own document."""
     _, inverse, counts = np.unique(documents * size + places, return_inverse=True, return_counts=True)
@@ -204,19 +234,17 @@ def _own(documents: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
 
 
 def losses(
-    texts: list[np.ndarray], target: np.ndarray, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray,
+    flat: np.ndarray, sizes: np.ndarray, target: np.ndarray, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray,
     totals: np.ndarray, documents: np.ndarray, vocabulary: int, weight: float,
 ) -> np.ndarray:
     """-log2 p, word by word of a block's texts, by (background, target).
 
     words, pairs: the corpus's counts by model and sorted key; totals, documents: its words with ends, and its texts.
     """
-    sizes = np.array([len(x) for x in texts])
-    flat = np.concatenate(texts).astype(np.int64)
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    starts = np.cumsum(sizes) - sizes
     keys, pair = _bigrams(flat, starts, hashes)
     place = _places(hashes)[1][flat]
-    of = np.repeat(np.arange(len(texts)), sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     own_pair, own_word = _own(of, pair, len(keys)), _own(of, place, len(hashes))
     own_history = np.roll(own_word, 1)
     own_history[starts] = 1
@@ -248,16 +276,15 @@ def score(
     size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / 6 / bucket_keys))))
     rows = texts.join(flags, "__id", "left").select("__id", "__text", F.coalesce("__target", F.lit(False)).alias("__target"))
-    blocks = cut(_blocks(rows, bits, block_words))
-    held = blocks.filter((F.col("kind") == _DOC) & (F.col("n") > 0))
+    blocks = cut(_blocks(rows, block_words))
     documents, totals = np.zeros(2, np.int64), np.zeros(2, np.int64)
-    for flag, count, words in held.groupBy("target").agg(F.count(F.lit(1)), F.sum(F.col("n") + 1)).collect():
+    for flag, count, words in blocks.filter("n > 0").groupBy("target").agg(F.count(F.lit(1)), F.sum(F.col("n") + 1)).collect():
         own = np.array([1, int(flag)])
         documents += own * count
         totals += own * words
-    packs = blocks.filter(F.col("kind") == _PACK).select("block", "bucket", "data", "n_all", "n_target")
-    words = packs.filter("bucket < 0").groupBy("bucket").applyInArrow(_different, "different long")
-    vocabulary = words.agg(F.sum("different")).first()[0] or 0
+    held = blocks.filter("words IS NOT NULL")
+    vocabulary = _vocabulary(held, bits)
+    packs = _packs(held.select("block", "words", "sizes", "targets", "hashes"), bits)
     answers = packs.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, n_all binary, n_target binary")
 
     kinds = [("n_words", T.LongType()), ("h_target", T.DoubleType()), ("h_background", T.DoubleType()), ("score", T.DoubleType())]
@@ -265,22 +292,22 @@ def score(
     arrow = to_arrow_schema(schema)
 
     def work(block: pa.Table, counts: pa.Table) -> pa.Table:
-        rows = block.filter(pa.compute.equal(block["kind"], _DOC))
-        hashes = _unpacked(block.filter(pa.compute.equal(block["kind"], _WORDS))["data"][0].as_py(), np.uint64)
-        sizes = rows["n"].to_numpy()
-        none = sizes == 0
-        means = np.zeros((2, len(sizes)))
+        whole = block["n"].is_null()
+        rows = block.filter(pa.compute.invert(whole))
+        n = rows["n"].to_numpy()
+        none = n == 0
+        means = np.zeros((2, len(n)))
         if not none.all():
             by_bucket = sorted(zip(*(counts[c].to_pylist() for c in ("bucket", "n_all", "n_target")), strict=True))
             models = []
             for own in ([x for x in by_bucket if x[0] < 0][::-1], [x for x in by_bucket if x[0] >= 0]):
                 models.append([np.concatenate([_unpacked(x[m], np.int64) for x in own]) for m in (1, 2)])
-            of_texts = [_unpacked(x, np.int32) for x in rows["data"].to_pylist()]
-            lost = losses(of_texts, rows["target"].to_numpy(), hashes, *models, totals, documents, vocabulary, weight)
-            lengths = sizes[~none] + 1
-            means[:, ~none] = np.add.reduceat(lost, np.cumsum(lengths) - lengths, axis=1) / lengths
-        columns = [rows["id"], pa.array(sizes), *(pa.array(x, mask=none) for x in (means[1], means[0], means[1] - means[0]))]
+            words, sizes, targets, hashes = _read(block.filter(whole).to_pylist()[0])
+            lost = losses(words, sizes, targets, hashes, *models, totals, documents, vocabulary, weight)
+            by_text = np.add.reduceat(lost, np.cumsum(sizes) - sizes, axis=1) / sizes
+            # rows come in any order; the texts are told by their place
+            means[:, ~none] = by_text[:, _ranks(rows["place"].to_numpy()[~none])]
+        columns = [rows["id"], pa.array(n), *(pa.array(x, mask=none) for x in (means[1], means[0], means[1] - means[0]))]
         return pa.Table.from_arrays(columns, schema=arrow)
 
-    left = blocks.filter(F.col("kind") != _PACK).select("block", "kind", "id", "target", "n", "data")
-    return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)

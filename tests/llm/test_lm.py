@@ -78,7 +78,7 @@ def test_probabilities_of_a_history_sum_to_one():
             counts = np.zeros(len(keys), np.int64)
             counts[place] = [pairs[p] for p in zip([lm.START, *text], text, strict=False)]
             lost = lm.losses(
-                [np.array(text, np.int32)], np.array([True]), hashes, [single[order]] * 2, [counts] * 2, np.array([single.sum()] * 2),
+                own, np.array([len(text)]), np.array([True]), hashes, [single[order]] * 2, [counts] * 2, np.array([single.sum()] * 2),
                 np.array([len(held)] * 2), size - 1, 0.6,
             )
             sums += np.exp2(-lost[:, 1])
