@@ -15,6 +15,8 @@ from ..checkpoints import cut, ensure_checkpoint_dir
 __all__ = ["cut", "ensure_checkpoint_dir", "lower_ascii", "map_texts", "table"]
 
 ID, TEXT = "__id", "__text"
+#: Rows of a batch that are Python values at once.
+ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def map_texts(
             out = work(*cols)
             return pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             cols = [c.to_pylist() for c in batch.columns]
             at, size = 0, 0
             for i, text in enumerate(cols[1]):

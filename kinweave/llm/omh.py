@@ -61,10 +61,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for up to a million of them."""
+    """64-bit hashes of words, kept for up to 200,000 of them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -282,14 +282,16 @@ def near_duplicates(
     """(id, class_id) for every row: class_id is the smallest id of the row's class. worth sets the number of rounds, not the result."""
     rows = cut(signatures(df, id_col, text_col, shingle, sketches, ell).withColumnRenamed(id_col, "node"))
     fine = F.col("node").isNotNull() & F.col("text_key").isNotNull()
-    first = F.any_value(F.struct("size", "sketch", "seq")).alias("x")
+    first = F.any_value(F.struct("size", "sketch")).alias("x")
     texts = cut(rows.filter(fine).groupBy("text_key").agg(F.min("node").alias("node"), first).select("text_key", "node", "x.*"))
     ids, reps = cut(rows.select("node", "text_key")), cut(texts.select("text_key", "node"))
-    release(rows)
     left = cut(_buckets(texts, threshold))
-    # of the sequences only those of texts with a candidate travel
-    candidates = cut(texts.select("node", "size", "seq").join(left.select("node").distinct(), "node", "left_semi"))
-    release(texts)
+    # sequences travel once, and one of each text with a candidate goes on
+    wanted = texts.join(left.select("node").distinct(), "node", "left_semi").select("text_key", "node")
+    own = rows.filter(fine).select("text_key", "node", "size", "seq").join(wanted, ["text_key", "node"], "left_semi")
+    one = F.any_value(F.struct("size", "seq")).alias("x")
+    candidates = cut(own.groupBy("text_key", "node").agg(one).select("node", "x.*"))
+    release(texts, rows)
     done = _Comparisons(candidates, threshold)
     linked, turn, held = 1.0, 0, [ids, reps, candidates]
     while linked >= worth and left.take(1):
