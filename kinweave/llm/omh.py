@@ -31,9 +31,11 @@ import functools
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,18 +62,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for up to 200,000 of them."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return value
-
-
-def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.array([hashes[x] for x in WORD.findall((text or "").lower())], dtype=np.uint64)
+def hashed(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -181,15 +174,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches
     """
 
     def start():
-        hashes = WordHashes()
-
         def work(ids, texts):
             keys, sizes, found, seqs = [], [], [], []
             for text in texts:
                 words = WORD.findall(text.lower()) if text is not None else []
                 whole = " ".join(words) if words else f"\0{text}"
                 keys.append(None if text is None else hashlib.md5(whole.encode("utf-8", "surrogatepass")).digest())
-                runs = shingles(np.array([hashes[x] for x in words], dtype=np.uint64), shingle)
+                runs = shingles(hashed(words), shingle)
                 sizes.append(len(runs))
                 found.append(sketch(runs, sketches, ell))
                 seqs.append(runs.astype("<u4").tobytes())
@@ -203,6 +194,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches
     return map_texts(df, id_col, text_col, start, [T.StructField(*f) for f in fields])
 
 
+def _sequences(column: pa.BinaryArray) -> Iterator[np.ndarray]:
+    """The sequences of a column, read where they lie; a null is empty."""
+    return (np.frombuffer(x.as_buffer() or b"", "<u4") for x in column)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     own = lambda x: texts.select(F.col("node").alias(x), F.col("seq").alias(f"seq_{x}"))
@@ -210,10 +206,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            left, right = (batch.column(i).to_pylist() for i in (2, 3))
-            fine = [
-                similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), threshold) > 0 for x, y in zip(left, right, strict=True)
-            ]
+            left, right = _sequences(batch.column(2)), _sequences(batch.column(3))
+            fine = [similarity(x, y, threshold) > 0 for x, y in zip(left, right, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(fine, type=pa.bool_()))
 
     return both.mapInArrow(run, both.select("a", "b").schema).distinct()
@@ -333,9 +327,9 @@ def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataF
     return rows.union(df.filter(F.col(id_col).isNull()))
 
 
-def _tokens(seq: bytes) -> np.ndarray:
+def _tokens(seq: np.ndarray) -> np.ndarray:
     """The shingles of a sequence, each with its occurrence number, as one hash each."""
-    runs = np.frombuffer(seq, "<u4").astype(np.uint64)
+    runs = seq.astype(np.uint64)
     return mix(runs + occurrences(runs) * np.uint64(_GOLDEN)).view(np.int64)
 
 
@@ -354,7 +348,7 @@ def _prefixes(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             at, sizes = 0, np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))
             while at < len(sizes):  # some texts at once, or a long one
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOKENS)))
-                found = [_tokens(x) for x in batch.column(3).slice(at, end - at).to_pylist()]
+                found = [_tokens(x) for x in _sequences(batch.column(3).slice(at, end - at))]
                 again = pa.array(np.repeat(np.arange(at, end), [len(x) for x in found]))
                 columns = [*[batch.column(i).take(again) for i in range(3)], pa.array(np.concatenate(found))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "comp", "size", "token"])
