@@ -212,8 +212,7 @@ def links_customer(spark, sf_dir):
 def unconnected_pairs(spark, sf_dir):
     """Block pairs that the headless pass has not connected yet."""
     uniq = parts(spark, sf_dir).unique
-    first = candidates.verified(candidates.headless_pairs(uniq, CONFIG), uniq, CONFIG)
-    return candidates.unconnected(candidates.block_pairs(uniq, CONFIG), graph.components(uniq, first))
+    return candidates.block_pairs(uniq, CONFIG, graph.components(uniq, candidates.headless_links(uniq, CONFIG)))
 
 
 def components(spark, sf_dir):

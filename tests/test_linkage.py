@@ -183,6 +183,25 @@ def test_headless_pairs_are_made_from_values(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(pairs_by_hand(words, lambda a, b: keys(a) & keys(b)))
 
 
+def test_unconnected_pairs_leave_out_components(spark, sf_dir, monkeypatch):
+    from kinweave.plans import queries
+
+    assert moves_no_pairs(queries.unconnected_pairs(spark, sf_dir))
+    monkeypatch.setattr(candidates, "LISTED", 4)
+    words, rows = crowded()
+    known = spark.createDataFrame([(i, i % 3) for i in range(len(rows))], "u long, comp long")
+    found = candidates.block_pairs(dedupe.unique_records(table(spark, rows), CONFIG), CONFIG, known)
+    every = pairs_by_hand(words, lambda a, b: super_keys(a) & super_keys(b))
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a, b in every if a % 3 != b % 3)
+
+
+def test_headless_links(spark):
+    uniq = dedupe.unique_records(table(spark, random_rows(3, 90)), CONFIG)
+    assert pairs(candidates.headless_links(uniq, CONFIG)) == pairs(candidates.verified(candidates.headless_pairs(uniq, CONFIG), uniq, CONFIG))
+    one = dedupe.unique_records(table(spark, [["smith"], ["pmith"], ["smyth"]], n=1), ONE)
+    assert pairs(candidates.headless_links(one, ONE)) == {(0, 1)}
+
+
 def test_adjacent_headless_misses_what_lies_apart(spark):
     # all share the headless key "nnal"; in record order the second stands between the linked ones
     rows = [["annal", "x"], ["bnnal", "qqq"], ["cnnal", "x"]]
