@@ -227,8 +227,8 @@ def merged_components(spark, sf_dir):
     """Components of the headless pass and of the block pass apart, then merged."""
     result = parts(spark, sf_dir)
     uniq = result.unique
-    first = candidates.verified(candidates.headless_pairs(uniq, CONFIG), uniq, CONFIG)
-    second = candidates.with_attributes(result.links, uniq, ("attr_1",)).filter(candidates.shares_block(CONFIG, False)).select("u1", "u2")
+    found = cut(candidates.with_attributes(result.links, uniq, ("attr_1",)))  # links share a block or a headless key
+    first, second = (found.filter(same).select("u1", "u2") for same in (candidates.shares_headless(CONFIG), candidates.shares_block(CONFIG, False)))
     return graph.merged_components(graph.components(uniq, first), graph.components(uniq, second))
 
 

@@ -41,6 +41,18 @@ def test_expected_counts(spark, sf_dir, name, links, components, clusters):
     assert (row.links, row.components, row.clusters) == (links, components, clusters)
 
 
+@pytest.mark.parametrize("name", ["merged_components", "unconnected_pairs"])
+def test_headless_pass_starts_from_links(spark, sf_dir, monkeypatch, name):
+    """Its components need the linked pairs, never all pairs that share a key."""
+    from kinweave.operators import candidates
+
+    def refuse(*_):
+        raise AssertionError("all pairs of headless keys were asked for")
+
+    monkeypatch.setattr(candidates, "headless_pairs", refuse)
+    assert library.queries()[name](spark, sf_dir).count() > 0
+
+
 def test_word_components(spark, sf_dir):
     found = library.word_components(spark, sf_dir)
     assert found.count() == 2555 and found.select("first_word").distinct().count() == 2401
