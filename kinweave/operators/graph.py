@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, release
+from ..checkpoints import apart, cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", comp: str = "comp") -> DataFrame:
@@ -19,29 +19,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str
     ends = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     first = cut(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     live, rounds = first.filter("a <> b"), []
-    while live.take(1):
+    while edges_left := live.count():
+        most = 2 * edges_left  # nodes
         both = live.union(live.select("b", "a"))
         hooks = both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("u"), F.least("a", "up").alias("root"))
-        hooks = _to_roots(cut(hooks))
-        ends = hooks.select(F.col("u").alias("a"), F.col("root").alias("ra"))
+        hooks = _to_roots(cut(hooks), most)
+        ends = apart(hooks.select(F.col("u").alias("a"), F.col("root").alias("ra")), most)
         after = live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
         after = cut(after.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         release(live)
         live = after
-        rounds.append(hooks)
+        rounds.append((hooks, most))
     labels = first.select(F.explode(F.array("a", "b")).alias(node)).distinct().withColumn(comp, F.col(node))
-    for hooks in rounds:
-        known = hooks.select(F.col("u").alias(comp), F.col("root").alias("__root"))
+    for hooks, most in rounds:
+        known = apart(hooks.select(F.col("u").alias(comp), F.col("root").alias("__root")), most)
         labels = labels.join(known, comp, "left").select(node, F.coalesce("__root", comp).alias(comp))
     labels = cut(labels)
-    release(first, live, *rounds)
+    release(first, live, *[hooks for hooks, _ in rounds])
     return labels
 
 
-def _to_roots(hooks: DataFrame) -> DataFrame:
-    """Pointers (u, root) followed two steps at a time until every one ends at a root. A root points to itself or isn't listed."""
+def _to_roots(hooks: DataFrame, rows: int) -> DataFrame:
+    """Pointers (u, root), `rows` at most, followed two steps at a time until every one ends at a root. A root points to itself or isn't listed."""
     while True:
-        up = lambda at, to: hooks.select(F.col("u").alias(at), F.col("root").alias(to))
+        up = lambda at, to: apart(hooks.select(F.col("u").alias(at), F.col("root").alias(to)), rows)
         jumped = hooks.join(up("root", "next"), "root", "left").withColumn("next", F.coalesce("next", "root"))
         jumped = jumped.join(up("next", "last"), "next", "left")
         to = F.coalesce("last", "next")
@@ -55,7 +56,7 @@ def _to_roots(hooks: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(u, comp) for all nodes, those without a link too."""
     found = connected_components(links, "u1", "u2", "u", "comp")
-    return nodes.select("u").join(found, "u", "left").select("u", F.coalesce("comp", "u").alias("comp"))
+    return nodes.select("u").join(apart(found, found.count()), "u", "left").select("u", F.coalesce("comp", "u").alias("comp"))
 
 
 def merged_components(*parts: DataFrame) -> DataFrame:

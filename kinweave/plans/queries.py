@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import apart, cut
 from ..config import LinkageConfig
 from ..functions.distance import bounded_distance
 from ..functions.kmers import cyclic_kmers, kmer_code, super_block_code
@@ -311,9 +311,12 @@ def word_components(spark, sf_dir):
     )
     keys = words.select("u", "word", F.explode(F.array_distinct(F.concat(F.array(value), shorter))).alias("near"))
     a, b = (keys.select("near", F.col("u").alias(f"u{i}"), F.col("word").alias(f"w{i}")) for i in (1, 2))
-    close = a.join(b, "near").filter(F.col("u1") < F.col("u2")).filter(bounded_distance(F.col("w1"), F.col("w2"), 1) >= 0)
+    # a key for each character: a table that looks small by its words' size must not be broadcast
+    close = a.join(b.hint("merge"), "near").filter(F.col("u1") < F.col("u2")).filter(bounded_distance(F.col("w1"), F.col("w2"), 1) >= 0)
     found = graph.components(words, close.select("u1", "u2").distinct())
-    named = found.join(words, "u").join(words.select(F.col("u").alias("comp"), F.col("word").alias("first_word")), "comp")
+    n = words.count()
+    first = words.select(F.col("u").alias("comp"), F.col("word").alias("first_word"))
+    named = found.join(apart(words, n), "u").join(apart(first, n), "comp")
     return named.select("word", "first_word")
 
 

@@ -58,6 +58,19 @@ def test_word_components(spark, sf_dir):
     assert found.count() == 2555 and found.select("first_word").distinct().count() == 2401
 
 
+def test_word_components_broadcasts_no_large_table(spark, sf_dir, monkeypatch):
+    """With no table counted as small, neither the links nor a round of the components goes through the driver."""
+    from kinweave import checkpoints
+    from kinweave.operators import graph
+
+    monkeypatch.setattr(checkpoints, "FEW", 0, raising=False)
+    plans, keep = [], graph.cut
+    add = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "cut", lambda df: add(df) or keep(df))
+    add(library.word_components(spark, sf_dir))
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_bucket_assignment(spark, sf_dir):
     rows = library.bucket_assignment(spark, sf_dir).collect()
     loads = [0, 0, 0]
