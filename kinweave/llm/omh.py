@@ -244,20 +244,23 @@ class _Comparisons:
         self.texts, self.threshold = texts, threshold
         self.pairs: list[DataFrame] = []
         self.links: list[DataFrame] = []
+        self.compared, self.found = 0, 0
         self.labels: DataFrame | None = None
 
-    def compare(self, pairs: DataFrame) -> float:
-        """Compares the pairs (a, b) that are new; returns the share of them that is linked."""
+    def compare(self, pairs: DataFrame, rows: int | None = None) -> float:
+        """Compares the pairs (a, b) that are new, `rows` at most; returns the share of them that is linked."""
         if self.pairs:
+            rows = max(rows, self.compared) if rows is not None else None
             pairs = pairs.join(functools.reduce(DataFrame.union, self.pairs), ["a", "b"], "left_anti")
-        self.pairs.append(pairs := cut(pairs))
+        self.pairs.append(pairs := cut(pairs, rows))
         self.links.append(links := cut(_verified(pairs, self.texts, self.threshold)))
-        found = links.count()
+        compared, found = pairs.count(), links.count()
+        self.compared, self.found = self.compared + compared, self.found + found
         if found or self.labels is None:
             if self.labels is not None:
                 release(self.labels)
-            self.labels = connected_components(functools.reduce(DataFrame.union, self.links))
-        return found / max(1, pairs.count())
+            self.labels = connected_components(functools.reduce(DataFrame.union, self.links), rows=self.found)
+        return found / max(1, compared)
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows with a node, each with its component comp; a node without a link is one by itself."""
@@ -288,11 +291,11 @@ def near_duplicates(
     release(texts, rows)
     done = _Comparisons(candidates, threshold)
     linked, turn, held = 1.0, 0, [ids, reps, candidates]
-    while linked >= worth and left.take(1):
+    while linked >= worth and (most := left.count()):
         turn += 1
-        linked = done.compare(_drawn(done.placed(left), turn))
+        linked = done.compare(_drawn(done.placed(left), turn), most)
         held.append(left)
-        left = cut(_open(done.placed(left)))
+        left = cut(_open(done.placed(left)), most)
     if left.take(1):
         prefixes, linked = _prefixes(done.placed(left), candidates, threshold), 1.0
         while linked >= worth:
@@ -304,7 +307,7 @@ def near_duplicates(
     classes = done.placed(reps).select("text_key", F.col("comp").alias("class_id"))
     placed = ids.filter(fine).join(classes, "text_key").select("node", "class_id")
     rest = ids.filter(~fine)
-    out = cut(placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col))
+    out = cut(placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col), ids.count())
     release(*held, left)
     done.release()
     return out

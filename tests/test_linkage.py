@@ -1,10 +1,12 @@
 """Fixtures by hand, invariants, and random tables against a plain model."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import checkpoints
 from kinweave.config import LinkageConfig
 from kinweave.operators import blocking, candidates, dedupe, graph, order, tokens
 from kinweave.plans.linkage import link_records
@@ -283,6 +285,33 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_tables_of_components_take_few_files(spark, monkeypatch):
+    written, settings = [], {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+
+    def listed(df, *a):
+        out = checkpoints.cut(df, *a)
+        written.append(sorted(p.name for p in Path(out._kinweave_path.removeprefix("file:")).iterdir() if p.suffix != ".crc"))
+        return out
+
+    monkeypatch.setattr(graph, "cut", listed)
+    edges = spark.range(3000).selectExpr("id AS a", "id + IF(id % 10 = 9, 0, 1) AS b")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = dict(graph.connected_components(edges).collect())
+        rounds = written[1:]
+        assert len(rounds) > 3 and all(len(names) == 1 and names[0].startswith("part-") for names in rounds)
+        written.clear()
+        assert dict(graph.connected_components(edges, rows=3000).collect()) == found and len(written[0]) == 1
+        several = checkpoints.cut(spark.range(0, 50_000, 1, 8), 50_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 10 for i in range(3000)}
+    assert several.count() == 50_000 and len(several.inputFiles()) == 3
+
+
 def test_merged_components(spark):
     a = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "u long, comp long")
     b = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4)], "u long, comp long")
