@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..checkpoints import cut, release
+from ..checkpoints import cut, few_files, release
 from ..operators.graph import connected_components
 from .common import map_texts
 
@@ -252,7 +252,7 @@ class _Comparisons:
         if self.pairs:
             rows = max(rows, self.compared) if rows is not None else None
             pairs = pairs.join(functools.reduce(DataFrame.union, self.pairs), ["a", "b"], "left_anti")
-        self.pairs.append(pairs := cut(pairs, rows))
+        self.pairs.append(pairs := cut(few_files(pairs, rows)))
         self.links.append(links := cut(_verified(pairs, self.texts, self.threshold)))
         compared, found = pairs.count(), links.count()
         self.compared, self.found = self.compared + compared, self.found + found
@@ -295,7 +295,7 @@ def near_duplicates(
         turn += 1
         linked = done.compare(_drawn(done.placed(left), turn), most)
         held.append(left)
-        left = cut(_open(done.placed(left)), most)
+        left = cut(few_files(_open(done.placed(left)), most))
     if left.take(1):
         prefixes, linked = _prefixes(done.placed(left), candidates, threshold), 1.0
         while linked >= worth:
@@ -307,7 +307,8 @@ def near_duplicates(
     classes = done.placed(reps).select("text_key", F.col("comp").alias("class_id"))
     placed = ids.filter(fine).join(classes, "text_key").select("node", "class_id")
     rest = ids.filter(~fine)
-    out = cut(placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col), ids.count())
+    out = placed.union(rest.select("node", F.col("node").alias("class_id"))).withColumnRenamed("node", id_col)
+    out = cut(few_files(out, ids.count()))
     release(*held, left)
     done.release()
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import apart, cut, release
+from ..checkpoints import apart, cut, few_files, release
 
 
 def connected_components(
@@ -19,16 +19,17 @@ def connected_components(
     a loop is a node without a neighbour. `rows`: the number of edges, or a bound on it, if the caller knows it.
     """
     ends = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    first = cut(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), rows)
+    first = cut(few_files(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), rows))
     live, rounds = first.filter("a <> b"), []
     while edges_left := live.count():
         most = 2 * edges_left  # nodes
         both = live.union(live.select("b", "a"))
         hooks = both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("u"), F.least("a", "up").alias("root"))
-        hooks = _to_roots(cut(hooks, most), most)
+        hooks = _to_roots(cut(few_files(hooks, most)), most)
         ends = apart(hooks.select(F.col("u").alias("a"), F.col("root").alias("ra")), most)
         after = live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-        after = cut(after.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), edges_left)
+        after = after.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        after = cut(few_files(after, edges_left))
         release(live)
         live = after
         rounds.append((hooks, most))
@@ -36,7 +37,7 @@ def connected_components(
     for hooks, most in rounds:
         known = apart(hooks.select(F.col("u").alias(comp), F.col("root").alias("__root")), most)
         labels = labels.join(known, comp, "left").select(node, F.coalesce("__root", comp).alias(comp))
-    labels = cut(labels, 2 * first.count())
+    labels = cut(few_files(labels, 2 * first.count()))
     release(first, live, *[hooks for hooks, _ in rounds])
     return labels
 
@@ -48,7 +49,7 @@ def _to_roots(hooks: DataFrame, rows: int) -> DataFrame:
         jumped = hooks.join(up("root", "next"), "root", "left").withColumn("next", F.coalesce("next", "root"))
         jumped = jumped.join(up("next", "last"), "next", "left")
         to = F.coalesce("last", "next")
-        jumped = cut(jumped.select("u", to.alias("root"), (to != F.col("root")).alias("moved")), rows)
+        jumped = cut(few_files(jumped.select("u", to.alias("root"), (to != F.col("root")).alias("moved")), rows))
         release(hooks)
         hooks = jumped
         if not jumped.filter("moved").take(1):

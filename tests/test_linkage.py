@@ -289,8 +289,8 @@ def test_small_tables_of_components_take_few_files(spark, monkeypatch):
     written, settings = [], {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in settings}
 
-    def listed(df, *a):
-        out = checkpoints.cut(df, *a)
+    def listed(df):
+        out = checkpoints.cut(df)
         written.append(sorted(p.name for p in Path(out._kinweave_path.removeprefix("file:")).iterdir() if p.suffix != ".crc"))
         return out
 
@@ -304,7 +304,7 @@ def test_small_tables_of_components_take_few_files(spark, monkeypatch):
         assert len(rounds) > 3 and all(len(names) == 1 and names[0].startswith("part-") for names in rounds)
         written.clear()
         assert dict(graph.connected_components(edges, rows=3000).collect()) == found and len(written[0]) == 1
-        several = checkpoints.cut(spark.range(0, 50_000, 1, 8), 50_000)
+        several = checkpoints.cut(checkpoints.few_files(spark.range(0, 50_000, 1, 8), 50_000))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
